@@ -19,7 +19,7 @@ ln as (
     where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id),
 m as (
     select d.doc_id, host, cast(len(w) as bigint) as n_words,
-           cast(coalesce(list_sum(list_transform(w, x -> length(x))), 0) as bigint) as word_chars,
+           cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars,
            cast(length(text) - length(translate(text, '#*$%&|<>', '')) as bigint) as n_symbols,
            coalesce(n_lines, 0) as n_lines, cast(coalesce(n_dup_lines, 0) as bigint) as n_dup_lines,
            cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words
