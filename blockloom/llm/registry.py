@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from blockloom.llm import bpe, fingerprint, packing, quality_classifier, quality_rules, sql, toxicity
+from blockloom.llm import bpe, fingerprint, language_model, packing, quality_classifier, quality_rules, sql, toxicity
 from blockloom.llm.common import table
 
 
@@ -35,8 +35,12 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_report(table(spark, sf_dir, "documents"))
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_packing, op4_byte_bpe, op5_quality_classifier, op8_quality_rules, op9_fingerprints)}
+    return {f.__name__: f for f in (op2_toxicity, op3_packing, op4_byte_bpe, op5_quality_classifier, op8_quality_rules, op9_fingerprints, op10_language_model)}
 
 
 def oracle_sql() -> dict[str, str]:
