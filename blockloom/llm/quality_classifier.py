@@ -93,3 +93,15 @@ def score(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Dat
 
     scored = texts(docs).mapInArrow(run, "doc_id bigint, score double")
     return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, forest: boosting.Forest) -> DataFrame:
+    """The documents, with all their columns, whose score reaches ``CUTOFF``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [statistics(t or "") for t in b.column("text").to_pylist()]
+            if rows:
+                yield b.filter(pa.array(forest.score(np.array(rows)) >= CUTOFF))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from blockloom.llm import bpe, fingerprint, jaccard_join, language_model, packing, quality_classifier, quality_rules, sql, toxicity
+from blockloom.llm import bpe, fingerprint, jaccard_join, language_model, line_dedup, packing, quality_classifier, quality_rules, sql, toxicity
 from blockloom.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_packing, op4_byte_bpe, op5_quality_classifier, op7_jaccard_join, op8_quality_rules, op9_fingerprints, op10_language_model)}
+    return {f.__name__: f for f in (op2_toxicity, op3_packing, op4_byte_bpe, op5_quality_classifier, op6_line_dedup, op7_jaccard_join, op8_quality_rules, op9_fingerprints, op10_language_model)}
 
 
 def oracle_sql() -> dict[str, str]:
