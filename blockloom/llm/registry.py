@@ -7,10 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from blockloom.llm import bpe, fingerprint, jaccard_join, language_model, line_dedup, packing, quality_classifier, quality_rules, sql, toxicity
+from blockloom.llm import bpe, fingerprint, jaccard_join, language_model, line_dedup, packing, quality_classifier, quality_rules, sql, toxicity, warc_fixity
 from blockloom.llm.common import table
 
 
+def op1_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return warc_fixity.audit(pages, warc_fixity.damaged_copy(pages))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,8 +53,8 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_packing, op4_byte_bpe, op5_quality_classifier, op6_line_dedup, op7_jaccard_join, op8_quality_rules, op9_fingerprints, op10_language_model)}
+    return {f.__name__: f for f in (op1_warc_fixity, op2_toxicity, op3_packing, op4_byte_bpe, op5_quality_classifier, op6_line_dedup, op7_jaccard_join, op8_quality_rules, op9_fingerprints, op10_language_model)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": sql.QUALITY_RULES}
+    return {"op1_warc_fixity": sql.WARC_FIXITY, "op8_quality_rules": sql.QUALITY_RULES}

@@ -39,3 +39,34 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        host, n_failed, round(host_rate, 9) as host_rate
 from g join r using (host)
 """
+
+WARC_FIXITY = r"""
+with k as (select *, cast('0x' || substr(md5(cast(page_id as varchar)), 1, 2) as int) % 40 as k from pages),
+b as (
+    select page_id, url, case when k = 4 then concat('x', html) when k = 5 then reverse(html) else html end as html from k where k is null or k <> 3
+    union all select page_id + 1000000000, url, html from k where k = 6),
+rec as (
+    select side, coalesce(page_id, -1) as page_id,
+           concat('WARC/1.0', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10), 'WARC-Record-ID: <urn:page:', cast(coalesce(page_id, -1) as varchar), '>', chr(13), chr(10),
+                  'WARC-Target-URI: ', coalesce(url, ''), chr(13), chr(10), 'Content-Length: ', cast(strlen(coalesce(html, '')) as varchar), chr(13), chr(10), chr(13), chr(10),
+                  coalesce(html, ''), chr(13), chr(10), chr(13), chr(10)) as r
+    from (select 'a' as side, page_id, url, html from pages union all select 'b', page_id, url, html from b)),
+leaf as (
+    select side, page_id, count(*) as n_records, cast(sum(strlen(r)) as bigint) as length, min(sha256(r)) as lo, max(sha256(r)) as hi,
+           bit_xor(cast('0x' || substr(sha256(r), 1, 15) as bigint)) as x from rec group by side, page_id),
+d as (
+    select side, page_id, n_records, length,
+           case when n_records = 1 then lo else sha256(concat_ws('|', cast(n_records as varchar), lo, hi, cast(x as varchar), cast(length as varchar))) end as digest from leaf),
+a as (
+    select *, cast(floor(page_id / 4096.0) as bigint) as file_id,
+           cast(coalesce(sum(length) over (partition by floor(page_id / 4096.0) order by page_id rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset"
+    from d where side = 'a'),
+g as (select cast(floor(page_id / 16.0) as bigint) as range_id, sha256(string_agg(concat(cast(page_id as varchar), ':', digest), chr(10) order by page_id)) as range_digest from a group by 1),
+j as (
+    select coalesce(a.page_id, o.page_id) as page_id, a."offset", a.length, a.n_records, a.digest, o.digest as replica_digest
+    from a full join (select * from d where side = 'b') o on a.page_id = o.page_id)
+select page_id, cast(floor(page_id / 4096.0) as bigint) as file_id, coalesce("offset", -1) as "offset", coalesce(length, 0) as length,
+       coalesce(n_records, 0) as n_records, coalesce(digest, '') as digest, coalesce(replica_digest, '') as replica_digest, coalesce(range_digest, '') as range_digest,
+       case when digest is null then 'extra' when replica_digest is null then 'missing' when digest <> replica_digest then 'corrupt' else 'ok' end as status
+from j left join g on g.range_id = cast(floor(page_id / 16.0) as bigint)
+"""
