@@ -318,7 +318,7 @@ TRACK = "select concat('ref.chr', cast(pos % 3 as {s})) as sequence_name, pos, c
 DUCK_TRACK = ", track as (select concat('ref.chr', cast(pos % 3 as varchar)) as sequence_name, pos, cast(pos % 97 as double) / 4 as value from (select unnest(range(0, 60001)) as pos))"
 
 
-@query(COLS + DUCK_TRACK + """ select x.block_id, col, bases, cast(ref_pos as bigint) as ref_pos, coalesce(concat('score:', format('{:.6f}', value)), '') as tag
+@query(COLS + DUCK_TRACK + """ select x.block_id, col, bases, cast(ref_pos as bigint) as ref_pos, coalesce('score:' || format('{:.6f}', value), '') as tag
 from x join ref using (block_id) left join track on rn = sequence_name and ref_base <> '-' and pos = ref_pos""")
 def annotate_wiggle(aln, spark):
     track = spark.sql(TRACK.format(s="string"))
