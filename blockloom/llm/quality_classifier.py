@@ -38,6 +38,8 @@ _OF_BYTE = np.zeros((256, len(CLASSES)))
 for _i, _members in enumerate(CLASSES.values()):
     _OF_BYTE[list(_members), _i] = 1
 
+WIDTH = 11 + len(CLASSES)
+
 
 def statistics(text: str) -> np.ndarray:
     """The features of one text."""
@@ -69,7 +71,7 @@ def statistics(text: str) -> np.ndarray:
 def _features(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     for b in batches:
         rows = [statistics(t) for t in b.column("text").to_pylist()]
-        yield b, np.array(rows) if rows else np.zeros((0, 20))
+        yield b, np.array(rows) if rows else np.zeros((0, WIDTH))
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> boosting.Forest:
@@ -80,7 +82,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> boo
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
 
     rows = labelled.sample(texts(docs), labels, "quality", fold(F.col("doc_id"), 4) != 2, most_rows).select("y", "text").mapInArrow(run, "y int, x array<double>").toArrow()
-    return boosting.fit(np.array(rows.column("x").to_pylist(), float).reshape(rows.num_rows, -1), np.array(rows.column("y").to_pylist(), float))
+    return boosting.fit(np.array(rows.column("x").to_pylist(), float).reshape(rows.num_rows, WIDTH), np.array(rows.column("y").to_pylist(), float))
 
 
 def score(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
