@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,3 +30,23 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not changed:
             return roots
     raise RuntimeError(f"components did not settle within {most_rounds} rounds")
+
+
+def spanning_links(nodes: np.ndarray, alike_to: Callable[[int], np.ndarray]) -> list[tuple[int, int]]:
+    """Links that span the components of a group: fewer than it has members, however many pairs are alike.
+
+    ``alike_to(i)`` tells which members are alike to the ``i``-th.  The first meets all others; whatever isn't alike
+    to it meets every member too, and is linked once with each component that it touches.
+    """
+    component = np.arange(len(nodes))
+    near = alike_to(0)
+    component[near] = 0
+    links = [(int(nodes[0]), int(x)) for x in nodes[near] if x != nodes[0]]
+    for i in np.flatnonzero(component != 0).tolist():
+        hit = np.flatnonzero(alike_to(i))
+        others, first = np.unique(component[hit], return_index=True)
+        for c, at in zip(others.tolist(), hit[first].tolist()):
+            if c != component[i]:
+                links.append((int(nodes[i]), int(nodes[at])))
+                component[component == c] = component[i]
+    return links

@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.llm.common import WORD, mix, texts
-from blockloom.llm.components import components
+from blockloom.llm.components import components, spanning_links
 from blockloom.session import keep
 
 WIDTH, THRESHOLD = 5, 0.8
 RUNS, DEPTH, BRANCH = 12, 3, 1.5
 BINS, SKETCH_LEAST = 128, 0.6
-BUCKET_BLOCK, EXACT_BLOCK = 512, 256
+BUCKET_BLOCK, EXACT_BLOCK = 4096, 256
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -111,20 +111,6 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return same >= SKETCH_LEAST * either
 
 
-def bucket_links(nodes: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]]:
-    """Links that span the components of alike sets inside one bucket.
-
-    The first set meets all others; whatever isn't alike meets every other set.
-    """
-    links, rest = [], np.arange(1, len(nodes))
-    ok = alike(sketches[0], sketches[1:])
-    links += [(int(nodes[0]), int(x)) for x in nodes[1:][ok]]
-    for i in rest[~ok]:
-        hit = np.flatnonzero(alike(sketches[i], sketches))
-        links += [(int(nodes[i]), int(nodes[j])) for j in hit if j != i]
-    return links
-
-
 def streamed(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Cut a stream that is sorted by ``keys`` into whole groups; several groups may come together."""
     held: list[pa.RecordBatch] = []
@@ -180,12 +166,12 @@ def candidates(nodes: DataFrame) -> DataFrame:
             links: set[tuple[int, int]] = set()
             for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
                 if b - a > 1:
-                    links.update((min(x), max(x)) for x in bucket_links(node[a:b], sk[a:b]))
+                    links.update((min(x), max(x)) for x in spanning_links(node[a:b], lambda i, s=sk[a:b]: alike(s[i], s)))
             if links:
                 x, y = zip(*links)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
-    dealt = rows.select(*keys, "node", "sketch").repartition(*keys).sortWithinPartitions(*keys)
+    dealt = rows.select(*keys, "node", "sketch").repartition(*keys).sortWithinPartitions(*keys, "node")  # groups share their least node
     return dealt.mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
 
 
