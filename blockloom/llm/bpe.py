@@ -24,10 +24,10 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from blockloom.llm.common import texts
+from blockloom.llm.common import sliced, texts
 from blockloom.llm.rank_queue import Merges, merge
 
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES, ROWS_AT_ONCE = 300_000, 2_500
 BLANK_RUN = re.compile(r"[\s\x1c-\x1f\x85] ")
 
 
@@ -121,7 +121,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(path, pattern)
-        for b in batches:
+        for b in sliced(batches, ROWS_AT_ONCE):
             ids = [i.astype(np.int32) for i in bpe.encode(b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
@@ -134,7 +134,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(path, pattern)
         decimal = [b"%d" % i for i in range(len(bpe.vocabulary))]
-        for b in batches:
+        for b in sliced(batches, ROWS_AT_ONCE):
             n, digests, decoded = [], [], []
             for ids in bpe.encode(b.column("text").to_pylist()):
                 n.append(len(ids))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +47,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def bounded_broadcast(df: DataFrame, most: int) -> DataFrame:
     """``df`` with a broadcast hint if it is counted to have at most ``most`` rows, else as it is."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, which bounds what a worker holds at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
