@@ -32,21 +32,27 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle within {most_rounds} rounds")
 
 
+def stars(nodes: list[int] | np.ndarray, component: list[int] | np.ndarray) -> list[tuple[int, int]]:
+    """Links from the least node of each component (one label per node) to its other nodes, so that no path is longer than two."""
+    nodes, component = np.asarray(nodes, np.int64), np.asarray(component)
+    order = np.lexsort((nodes, component))
+    nodes, component = nodes[order], component[order]
+    head = np.append(True, component[1:] != component[:-1])
+    heads = nodes[np.flatnonzero(head)][np.cumsum(head) - 1]
+    rest = nodes != heads
+    return [*zip(heads[rest].tolist(), nodes[rest].tolist())]
+
+
 def spanning_links(nodes: np.ndarray, alike_to: Callable[[int], np.ndarray]) -> list[tuple[int, int]]:
     """Links that span the components of a group: fewer than it has members, however many pairs are alike.
 
     ``alike_to(i)`` tells which members are alike to the ``i``-th.  The first meets all others; whatever isn't alike
-    to it meets every member too, and is linked once with each component that it touches.
+    to it meets every member too, and joins all components that it touches.
     """
     component = np.arange(len(nodes))
-    near = alike_to(0)
-    component[near] = 0
-    links = [(int(nodes[0]), int(x)) for x in nodes[near] if x != nodes[0]]
+    component[alike_to(0)] = 0
     for i in np.flatnonzero(component != 0).tolist():
-        hit = np.flatnonzero(alike_to(i))
-        others, first = np.unique(component[hit], return_index=True)
-        for c, at in zip(others.tolist(), hit[first].tolist()):
+        for c in np.unique(component[alike_to(i)]).tolist():
             if c != component[i]:
-                links.append((int(nodes[i]), int(nodes[at])))
                 component[component == c] = component[i]
-    return links
+    return stars(nodes, component)
