@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from blockloom.operators.masks import with_reference
 
-BIN = 1_000_000
+BIN, LINES = 1_000_000, 100_000
 
 
 def parse_region(text: str) -> tuple[str, int, int | None]:
@@ -95,15 +95,26 @@ def build_index(anchors: DataFrame, spacing: int = 10_000) -> DataFrame:
 
 
 def index_lines(entries: DataFrame) -> DataFrame:
-    """Delta-coded index ``name, pos, offset`` as text parts ``line_no, name, pos, offset``: ``*`` repeats the name, with differences."""
-    order = Window.partitionBy("name").orderBy("pos")
-    numbered = entries.withColumn("p", F.lag("pos").over(order)).withColumn("o", F.lag("offset").over(order))
-    return numbered.select(F.col("name").alias("contig"), F.when(F.col("p").isNull(), F.col("name")).otherwise("*").alias("name"), (F.col("pos") - F.coalesce("p", F.lit(0))).alias("pos"), (F.col("offset") - F.coalesce("o", F.lit(0))).alias("offset"), F.col("pos").alias("order"))
+    """Delta-coded index ``name, pos, offset`` as text parts ``line_no, name, pos, offset``: ``*`` repeats the name, with differences.
+
+    Lines are numbered inside each contig and shifted by the contigs before, so only one record per contig is ordered as a whole.
+    """
+    sizes = entries.groupBy("name").agg(F.count("*").alias("n"))
+    before = sizes.select("name", (F.sum("n").over(Window.orderBy("name")) - F.col("n")).alias("before"))
+    order = Window.partitionBy("name").orderBy("pos", "offset")
+    numbered = entries.join(before, "name").withColumn("line_no", F.row_number().over(order) - 1 + F.col("before"))
+    numbered = numbered.withColumn("p", F.lag("pos").over(order)).withColumn("o", F.lag("offset").over(order))
+    return numbered.select("line_no", F.when(F.col("p").isNull(), F.col("name")).otherwise("*").alias("name"), (F.col("pos") - F.coalesce("p", F.lit(0))).alias("pos"), (F.col("offset") - F.coalesce("o", F.lit(0))).alias("offset"))
 
 
 def expand_index(lines: DataFrame) -> DataFrame:
-    """Absolute ``name, pos, offset`` from delta-coded ``line_no, name, pos, offset``; an index is small, so one task orders it."""
-    along = Window.orderBy("line_no")
-    grouped = lines.withColumn("g", F.sum((F.col("name") != "*").cast("int")).over(along))
+    """Absolute ``name, pos, offset`` from delta-coded ``line_no, name, pos, offset``.
+
+    Contigs are numbered in two levels: inside shards of lines, then over one record per shard.
+    """
+    sharded = lines.withColumn("shard", F.expr(f"line_no div {LINES}")).withColumn("first", (F.col("name") != "*").cast("long"))
+    totals = sharded.groupBy("shard").agg(F.sum("first").alias("n"))
+    before = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
+    grouped = sharded.join(before, "shard").withColumn("g", F.sum("first").over(Window.partitionBy("shard").orderBy("line_no")) + F.col("before"))
     inside = Window.partitionBy("g").orderBy("line_no")
     return grouped.select(F.first("name").over(inside).alias("name"), F.sum("pos").over(inside).alias("pos"), F.sum("offset").over(inside).alias("offset"))

@@ -416,11 +416,7 @@ def tai_build(aln, spark):
 @query(" select sequence_name as name, start as pos, block_id * 1000 as \"offset\" from aln where row_index = 0")
 def tai_expand(aln, spark):
     anchors = aln.where("row_index = 0").select(F.col("sequence_name").alias("name"), F.col("start").alias("pos"), (F.col("block_id") * 1000).alias("offset"))
-    lines = regions.index_lines(anchors)
-    from pyspark.sql import Window
-
-    numbered = lines.withColumn("line_no", F.row_number().over(Window.orderBy("contig", "order"))).select("line_no", "name", "pos", "offset")
-    return regions.expand_index(numbered)
+    return regions.expand_index(regions.index_lines(anchors))
 
 
 @query(BASES + """, o as (select block_id, sum(rl) over (order by block_id) - rl as off from ref),

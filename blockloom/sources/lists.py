@@ -55,4 +55,4 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 def write_index(entries: DataFrame, path: str) -> None:
     """Delta-coded lines, ordered by contig and position."""
-    index_lines(entries).orderBy("contig", "order").select(F.concat_ws("\t", "name", "pos", "offset").alias("value")).coalesce(1).write.text(path)
+    index_lines(entries).orderBy("line_no").select(F.concat_ws("\t", "name", "pos", "offset").alias("value")).coalesce(1).write.text(path)
