@@ -303,6 +303,42 @@ def test_line_dedup_is_brute_force(spark, empty):
         assert r.text == kept and r.n_chars == len(kept)
 
 
+def test_line_dedup_links_long_lines_at_four_fifths(spark):
+    rng, rows, linked = random.Random(12), [], {}
+    for k, n in enumerate([14, 15, 16, 17, 19, 20, 40, 63, 64, 100, 250, 700]):
+        line = [f"{rng.choice(WORDS)}{rng.randrange(50)}" for _ in range(n)]
+        most = n * 2 // 10  # a similarity of 0.8
+        for j, edits in enumerate([most, min(3, most), most + 1]):
+            new = list(line)
+            for x in rng.sample(range(n), edits):
+                new[x] = f"new{j}"
+            rows += [(1000 * k + 10 * j, " ".join(line)), (1000 * k + 10 * j + 1, " ".join(new))]
+            assert edit(line, new) == edits
+            linked[1000 * k + 10 * j + 1] = edits <= most
+        longer = line + ["more"] * (n // 5)
+        rows.append((1000 * k + 31, " ".join(longer)))
+        linked[1000 * k + 31] = True
+    got = {r.doc_id: r.n_removed for r in line_dedup.report(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    # the copy with one edit too many may still be linked through another copy
+    pairs = {i: t.split() for i, t in rows}
+    for i, yes in linked.items():
+        if not yes:
+            yes = any(edit(pairs[i], w) <= min(len(pairs[i]), len(w)) * 2 // 10 for j, w in pairs.items() if j != i and j // 1000 == i // 1000)
+        assert got[i] == yes, (i, len(pairs[i]))
+
+
+def test_banded_distance_with_wide_bands():
+    rng = random.Random(13)
+    for _ in range(60):
+        a = [rng.choice(WORDS[:20]) for _ in range(rng.randint(15, 120))]
+        b = list(a)
+        for _ in range(rng.randint(0, 25)):
+            k = rng.randrange(len(b))
+            b[k : k + rng.randint(0, 1)] = [rng.choice(WORDS)] * rng.randint(0, 1)
+        most = min(len(a), len(b)) // 5
+        assert line_dedup.distance(a, b, most) == min(edit(a, b), most + 1)
+
+
 def test_line_dedup_on_awkward_tables(docs, empty):
     assert line_dedup.report(docs).count() >= len({i for i, _ in PLAIN})
     cleaned = line_dedup.clean(docs)
