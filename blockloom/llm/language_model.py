@@ -8,7 +8,7 @@ times its own share of the class, which doesn't depend on the state:
     log P(text) = forward recursion over symbols + sum over tail tokens of log P(token | class)
 
 so the first part needs only a model of bounded size, and the second is a join
-with the counts of all tokens of the corpus.  Baum-Welch runs over all training
+with the counts of all tokens of the corpus.  Each of the ``ROUNDS`` rounds of Baum-Welch runs over all training
 documents: each partition adds up its expected counts, and only their sums (states x symbols, states x
 states) reach the driver.  The recursion is scaled at each step, hence exact for any length.
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from blockloom.llm.common import WORD, fold, sliced, texts
 from blockloom.session import keep
 
-HEAD, TAIL, STATES, WARM_DOCS, WARM_ROUNDS, ROUNDS = 50_000, 64, 6, 2_000, 12, 2
+HEAD, TAIL, STATES, ROUNDS = 50_000, 64, 6, 14
 END = ""  # no word is empty, so the empty string stands for the end
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 FLUSH = 200_000
@@ -279,13 +279,7 @@ def score(docs: DataFrame, states: int = STATES, head: int = HEAD, rounds: int =
     seen = keep(rows.mapInArrow(read, "doc_id bigint, held_out boolean, symbols array<int>, tail array<string>").withColumn("uid", F.monotonically_increasing_id()), "symbols")
     training = seen.where(~F.col("held_out")).select("symbols")
 
-    # warm start on a bounded number of documents, then Baum-Welch over all of them
-    total = max(seen.where(~F.col("held_out")).count(), 1)
-    share = min(1_000_000, 1_000_000 * WARM_DOCS // total)
-    warm = [np.array(r["symbols"][:1000], np.int32) for r in seen.where(~F.col("held_out")).where(F.pmod(F.xxhash64("uid"), F.lit(1_000_000)) < share).select(F.slice("symbols", 1, 1000).alias("symbols")).collect()]
     model = initial(symbol_of, unigram, states)
-    for _ in range(WARM_ROUNDS if warm else 0):
-        model = maximised(symbol_of, *expected(model, warm), unigram)
     for _ in range(rounds):
         model = maximised(symbol_of, *sums_of_counts(training, model), unigram)
     plain = Model({}, model.start, model.move, model.emit)  # scoring needs no tokens

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import os
 import random
 import re
 import zlib
@@ -413,6 +414,26 @@ def test_language_model(spark, docs, empty):
     assert language_model.score(empty).count() == 0
 
 
+def test_every_training_round_sees_all_training_documents(spark, monkeypatch):
+    rows = [(i, prose(1_500, i)) for i in range(12)]
+    training = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    seen, sums, real, driver = [], language_model.sums_of_counts, language_model.expected, os.getpid()
+
+    def counted(docs, model):
+        got = sums(docs, model)
+        seen.append(got[2].sum())
+        return got
+
+    def on_workers(*args):
+        assert os.getpid() != driver, "trained on the driver"
+        return real(*args)
+
+    monkeypatch.setattr(language_model, "sums_of_counts", counted)
+    monkeypatch.setattr(language_model, "expected", on_workers)
+    assert language_model.score(spark.createDataFrame(rows, "doc_id bigint, text string"), head=50).count() == len(rows)
+    assert seen == [pytest.approx(sum(len(words_of(t)) + 1 for t in training))] * 14
+
+
 def test_forward_recursion_is_exact():
     rng = np.random.default_rng(1)
     norm = lambda a, axis: a / a.sum(axis=axis, keepdims=True)
