@@ -94,13 +94,13 @@ class ByteBPE:
     def encode(self, batch: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text."""
         parts = [[] if not t else [t] if BLANK_RUN.search(t) else t.split(" ") for t in batch]
-        self.first.learn({p[0] for p in parts if p}, self.encode_pieces)
+        self.first.learn({p[0] for p in parts if p and p[0]}, self.encode_pieces)  # a text that starts with a blank has an empty first part
         rest = set()
         for p in parts:
             rest.update(p[1:])
         self.inner.learn(rest, lambda words: self.encode_pieces([" " + w for w in words]))
         for p in parts:
-            yield np.frombuffer(self.first[p[0]] + b"".join(map(self.inner.__getitem__, p[1:])) if p else b"", "<u4")
+            yield np.frombuffer((self.first[p[0]] if p[0] else b"") + b"".join(map(self.inner.__getitem__, p[1:])) if p else b"", "<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids.tolist()))

@@ -88,6 +88,17 @@ def test_byte_bpe_is_tiktoken(spark, docs, empty):
         assert ids.tolist() == known.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("batch", [[" hello world"], [" "], ["", " ", " hello world", "hello world ", " a"]])
+def test_byte_bpe_takes_a_leading_blank(batch):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ours = bpe.ByteBPE(path, public_tokenizers.PATTERN)
+    got = list(ours.encode(batch))
+    assert [i.tolist() for i in got] == [known.encode_ordinary(t) for t in batch]
+    assert [ours.decode(i).decode() for i in got] == batch
+
+
 @pytest.mark.parametrize("text", ["  a  b\n\n c ", "aaaa aaaaaaa", "it's I'LL 'S 12345", "a\x1cb \x1f c", " \x85 x\xa0y", "\n \n", "tail \n", "a \t b\r\n", "ab" * 4000])
 def test_both_tokenizers_on_white_space(text):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
