@@ -17,6 +17,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +28,12 @@ from pyspark.sql import DataFrame
 from blockloom.llm.common import sliced, texts
 from blockloom.llm.rank_queue import Merges, merge
 
-CACHE_ENTRIES, ROWS_AT_ONCE = 300_000, 2_500
+CACHE_ENTRIES, ROWS_AT_ONCE = 200_000, 2_500
 BLANK_RUN = re.compile(r"[\s\x1c-\x1f\x85] ")
 
 
 class Cache(dict):
-    """Encodings by piece; pieces beyond the bound live for one batch in ``extra``."""
+    """Encodings by piece, ``bound`` of them at most; further pieces live for one batch in ``extra``."""
 
     def __init__(self, bound: int):
         super().__init__()
@@ -44,15 +45,9 @@ class Cache(dict):
     def learn(self, keys: Iterable[str], encode) -> None:
         """Make sure that all ``keys`` are known; ``encode`` takes a list of them and returns their encodings."""
         missing = [k for k in keys if k not in self]
-        if missing:
-            found = zip(missing, encode(missing))
-            if len(self) < self.bound:
-                self.extra = {}
-                self.update(found)
-            else:
-                self.extra = dict(found)
-        else:
-            self.extra = {}
+        found = zip(missing, encode(missing)) if missing else iter(())
+        self.update(islice(found, max(self.bound - len(self), 0)))
+        self.extra = dict(found)
 
 
 def layout(found: list[list[bytes]]) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -156,19 +151,19 @@ class WordBPE:
     """BPE with word ends, read from a ``tokenizers`` file: NFC, lower case, pieces by the file's pattern.
 
     Plain texts (scripts whose case and composition are the same everywhere) are
-    cut into words, whose ids come from the same merges as ranks; all others take
-    the library itself.
+    cut into words, whose ids come from the same merges as ranks; all others, and
+    texts that hold one of the file's added tokens, take the library itself.
     """
 
     PLAIN = re.compile(r"[\t-\r -~ -įı-ɏЀ-џ‐-‧ぁ-ゖァ-ヺ一-鿿]*")
 
-    def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES // 2):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t["content"] for t in spec["added_tokens"]]
         vocabulary, model = spec["model"]["vocab"], spec["model"]
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         # the same merges as ranks of byte strings, the word end written as byte 0, which plain texts don't have
@@ -182,6 +177,7 @@ class WordBPE:
         self.ends = np.array([t.endswith(end) for t in order])
         self.merger = tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={}, explicit_n_vocab=None)
         self.words = Cache(cache_entries)
+        del spec, vocabulary, model, pairs, order, ranks  # large, and of no use from here on
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         cut = self.pattern.findall
@@ -200,8 +196,9 @@ class WordBPE:
 
         parts, need = [], set()
         for t in batch:
+            special = any(a in t for a in self.added)
             t = unicodedata.normalize("NFC", t)
-            words = t.lower().split() if self.PLAIN.fullmatch(t) else None
+            words = t.lower().split() if not special and self.PLAIN.fullmatch(t) else None
             parts.append(words)
             if words:
                 need.update(words)

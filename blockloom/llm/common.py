@@ -49,8 +49,15 @@ def bounded_broadcast(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``rows``, which bounds what a worker holds at once."""
+def sliced(batches: Iterator[pa.RecordBatch], rows: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows`` and about ``size`` bytes (one row at least), which bounds what a worker holds at once."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        parts = -(-b.get_total_buffer_size() // size) if b.num_rows else 0
+        step = max(1, min(rows, b.num_rows // max(parts, 1)))
+        for at in range(0, b.num_rows, step):
+            part = b.slice(at, step)
+            if part.num_rows > 1 and part.nbytes > 2 * size:  # long rows stand together
+                for i in range(part.num_rows):
+                    yield part.slice(i, 1)
+            else:
+                yield part

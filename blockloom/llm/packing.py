@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockloom.llm import bpe, cutting_stock
-from blockloom.llm.common import shuffle_partitions, texts
+from blockloom.llm.common import shuffle_partitions, sliced, texts
 from blockloom.session import keep
 
 CAPACITY, GRAIN, END_ID = 2048, 8, 1
@@ -34,7 +34,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = bpe.word_bpe(path), np.array([END_ID], "<u4").tobytes()
-        for b in batches:
+        for b in sliced(batches, 1_000):
             rows = []
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), encoder.encode(b.column("text").to_pylist())):
                 ids += end

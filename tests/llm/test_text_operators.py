@@ -112,10 +112,29 @@ def test_both_tokenizers_on_white_space(text):
     assert [np.frombuffer(i, "<u4").tolist() for i in bpe.word_bpe(words).encode([text])] == [library.encode(text, add_special_tokens=False).ids]
 
 
+def test_both_tokenizers_on_random_strings():
+    rng = random.Random(5)
+    parts = [" ", "  ", "\t", "\n", "\xa0", "\x85", "a", "It", "'s", "'LL", "12", ".", ",", "<|endoftext|>", "<|startoftext|>", "ñandú", "ÜBER", "ß", "日本", "e\u0301", "ﬁ", "İ", "🙂", "\x00", "...", "word", "Word,", "end."]
+    batch = ["".join(rng.choices(parts, k=rng.randrange(0, 14))) for _ in range(3000)]
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert [i.tolist() for i in bpe.byte_bpe(path, public_tokenizers.PATTERN).encode(batch)] == [known.encode_ordinary(t) for t in batch]
+    words = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(words)
+    assert [np.frombuffer(i, "<u4").tolist() for i in bpe.word_bpe(words).encode(batch)] == [library.encode(t, add_special_tokens=False).ids for t in batch]
+
+
+def test_a_cache_keeps_its_bound():
+    cache = bpe.Cache(5)
+    for n in (3, 12, 40):
+        cache.learn([str(i) for i in range(n)], lambda keys: [k.encode() for k in keys])
+        assert len(cache) <= 5 and [cache[str(i)] for i in range(n)] == [b"%d" % i for i in range(n)]
+
+
 def test_packing_places_every_id_once(spark, docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     found = packing.pack(docs, path, keep_ids=True).collect()
     by_sequence = {}
     for r in found:
