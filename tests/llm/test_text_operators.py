@@ -11,13 +11,14 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from blockloom.llm import boosting, bpe, cutting_stock, fingerprint, jaccard_join, language_model, line_dedup, packing, quality_classifier, quality_rules, rank_queue, toxicity, warc_fixity
+from blockloom.llm import boosting, bpe, cutting_stock, fingerprint, jaccard_join, language_model, line_dedup, lines, packing, quality_classifier, quality_rules, rank_queue, toxicity, warc_fixity
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, node bigint, y int, digest string"
 WORDS = "the of and to in that it is was for on are as with his they at be this from have or by one had not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know".split()
@@ -270,9 +271,9 @@ def test_forest_fits_a_rule():
 
 
 def brute_lines(rows):
-    """Removed lines by comparing all pairs of lines."""
-    places = sorted({(i, k, tuple(x.split())) for i, t in rows for k, x in enumerate(t.split("\n")) if len(x.split()) >= line_dedup.LEAST_WORDS})
-    lines = sorted({w for _, _, w in places}, key=len)
+    """Removed lines by comparing all pairs of lines; ``rows`` are (id, rank of the text among those of its id, text)."""
+    places = sorted({(i is None, i or 0, r, k, tuple(x.split())) for i, r, t in rows for k, x in enumerate((t or "").split("\n")) if x.split()})
+    lines = sorted({p[-1] for p in places}, key=len)
     up = {w: w for w in lines}
 
     def top(w):
@@ -281,14 +282,14 @@ def brute_lines(rows):
         return w
 
     for k, a in enumerate(lines):
-        most = line_dedup.limit(len(a))
+        most = len(a) * 2 // 10  # a similarity of 0.8
         for b in lines[k + 1 :]:
             if len(b) - len(a) <= most and most and edit(a, b) <= most:
                 up[top(b)] = top(a)
     first = {}
-    for i, k, w in places:
-        first[top(w)] = min(first.get(top(w), (i, k)), (i, k))
-    return {(i, k): first[top(w)] for i, k, w in places if first[top(w)] != (i, k)}
+    for *place, w in places:
+        first[top(w)] = min(first.get(top(w), tuple(place)), tuple(place))
+    return {tuple(place): first[top(w)] for *place, w in places if first[top(w)] != tuple(place)}
 
 
 def edit(a, b):
@@ -313,25 +314,43 @@ def test_banded_distance():
         assert line_dedup.distance(a, b, most) == min(edit(a, b), most + 1)
 
 
-def test_line_dedup_is_brute_force(spark, empty):
+def test_parsed_lines(docs):
+    rows = [t for _, t in PLAIN] + ["", "a\nb c\n\nd", "\n", "x\u00a0y z"]
+    got = lines.parse(pa.array(rows, pa.string()).slice(1))
+    expected = [(r, k, len(x.split())) for r, t in enumerate(rows[1:]) for k, x in enumerate(t.encode().split(b"\n")) if x.split()]
+    assert list(zip(got.row.tolist(), got.number.tolist(), got.n.tolist())) == expected
+    words = [w for t in rows[1:] for w in t.encode().split()]
+    assert len(set(zip(words, got.words.tolist()))) == len(set(words)) == len(set(got.words.tolist()))
+    assert len(lines.parse(pa.array([], pa.string())).n) == 0 and len(lines.parse(pa.array([None, ""], pa.string())).n) == 0
+
+
+@pytest.mark.parametrize("block", [4096, 4])
+def test_line_dedup_is_brute_force(spark, empty, block, monkeypatch):
+    """Lines of 1 to 220 words, ids that repeat with other texts, null ids, repeated rows."""
+    monkeypatch.setattr(line_dedup, "BUCKET_BLOCK", block)
     rng, rows = random.Random(6), []
-    stock = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(4, 30))) for _ in range(25)]
-    for i in range(40):
-        lines = []
+    stock = [" ".join(rng.choice(WORDS) for _ in range(n)) for n in [*range(1, 31), 5, 9, 14, 15, 16, 45, 80, 220]]
+    for i in range(60):
+        of = []
         for _ in range(rng.randint(1, 6)):
             w = rng.choice(stock).split()
-            for _ in range(rng.choice([0, 0, 1, 2, 3])):
-                k = rng.randrange(len(w))
+            for _ in range(rng.choice([0, 0, 1, 2, 3, len(w) // 5])):
+                k = rng.randrange(len(w) or 1)
                 w[k : k + rng.randint(0, 1)] = [rng.choice(WORDS)] * rng.randint(0, 1)
-            lines.append(" ".join(w))
-        rows.append((i, "\n".join(lines)))
-    d = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(5)
-    expected = brute_lines(rows)
-    got = {(r.doc_id, x.line_no): (x.first_doc_id, x.first_line_no) for r in line_dedup.report(d).collect() for x in r.removed}
-    assert got == expected and len(expected) > 20
-    for r in line_dedup.clean(d).collect():
-        kept = "\n".join(x for k, x in enumerate(dict(rows)[r.doc_id].split("\n")) if (r.doc_id, k) not in expected)
-        assert r.text == kept and r.n_chars == len(kept)
+            of.append(" ".join(w))
+        rows.append((None if i % 20 == 7 else i // 2 if i % 5 == 0 else i, "\n".join(of)))
+    rows += [rows[3], rows[3], (70, None), (None, "")]
+    d = spark.createDataFrame([(i, t, None, None, len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(5)
+    rank = {(r.doc_id, r.text): r.t for r in d.select("doc_id", "text", line_dedup.row_key(F.col("doc_id"), F.col("text")).alias("t")).collect()}
+    expected = brute_lines([(i, rank[i, t], t) for i, t in rows])
+    report = line_dedup.removals(d).collect()
+    got = {(r.doc_id is None, r.doc_id or 0, r.t, x.line_no): (x.first_doc_id, x.first_line_no) for r in report for x in r.removed}
+    assert got == {k: (None if f[0] else f[1], f[3]) for k, f in expected.items()} and len(expected) > 60
+    assert len(report) == len(rows)
+    kept = lambda i, t: t and "\n".join(x for k, x in enumerate(t.split("\n")) if (i is None, i or 0, rank[i, t], k) not in expected)
+    cleaned = line_dedup.clean(d).collect()
+    assert Counter((r.doc_id, r.text) for r in cleaned) == Counter((i, kept(i, t)) for i, t in rows)
+    assert all(r.n_chars == len(r.text or "") for r in cleaned)
 
 
 def test_line_dedup_links_long_lines_at_four_fifths(spark):
