@@ -28,4 +28,5 @@ def keep(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark._jvm.System.gc()  # the job's shuffle files are removed once the driver has collected their handles
     return spark.read.schema(df.schema).parquet(path)
