@@ -5,20 +5,37 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a temporary one only where none is configured (tests)."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
 
 
+@contextmanager
+def releasing(spark: SparkSession) -> Iterator[None]:
+    """Actions inside remove their shuffle files as soon as they end."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def keep(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -27,6 +44,6 @@ def keep(df: DataFrame, name: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark._jvm.System.gc()  # the job's shuffle files are removed once the driver has collected their handles
+    with releasing(spark):  # the copy is read from now on
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
