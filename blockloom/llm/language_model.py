@@ -8,9 +8,10 @@ times its own share of the class, which doesn't depend on the state:
     log P(text) = forward recursion over symbols + sum over tail tokens of log P(token | class)
 
 so the first part needs only a model of bounded size, and the second is a join
-with the counts of all tokens of the corpus.  Each of the ``ROUNDS`` rounds of Baum-Welch runs over all training
-documents: each partition adds up its expected counts, and only their sums (states x symbols, states x
-states) reach the driver.  The recursion is scaled at each step, hence exact for any length.
+with the counts of all tokens of the corpus.  Each round of Baum-Welch runs over all whole training
+documents; training ends when a round raises the likelihood by less than ``TOLERANCE`` (natural logarithm, by token), or after ``ROUNDS``.
+A ``head`` that no vocabulary exceeds gives every token emissions of its own.  Each partition adds up its expected counts, and only their sums (states x symbols, states x
+states) reach the driver.  The recursion is scaled, hence exact for any length.
 
 Defined cases: a null or empty text is the end token alone; tokens that training
 never saw count 0 and are smoothed; without training documents all counts are 0;
@@ -23,29 +24,31 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import WORD, fold, sliced, texts
-from blockloom.session import keep
+from blockloom.llm.common import fold, sliced, texts
+from blockloom.session import keep, releasing
 
-HEAD, TAIL, STATES, ROUNDS = 50_000, 64, 6, 14
-END = ""  # no word is empty, so the empty string stands for the end
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-FLUSH = 200_000
+HEAD, TAIL, STATES, ROUNDS, TOLERANCE = 50_000, 64, 6, 14, 1e-2
+END = b""  # no word is empty, so the empty string stands for the end
+FLUSH, CHUNK, SCALED, SALTS = 200_000, 4096, 16, 16
 
 
-def tokens(text: str) -> list[str]:
-    """Words with A-Z lowered, without the end."""
-    return WORD.findall(text.translate(LOWER) if not text.isascii() else text.lower())
+def tokens(text: str) -> list[bytes]:
+    """Words with A-Z lowered, in UTF-8, without the end; methods of bytes know ASCII letters and white space only."""
+    return text.encode("utf-8", "replace").lower().split()
 
 
-def shape(token: str) -> int:
+@lru_cache(maxsize=1 << 16)
+def shape(token: bytes) -> int:
     """Tail class of a token: a hash of its ending and whether it has other than plain letters."""
-    core = token.rstrip(".,;:!?")
+    core = token.decode("utf-8", "replace").rstrip(".,;:!?")
     return zlib.crc32(f"{core[-2:]}{core.isalpha()}".encode("utf-8", "replace")) % TAIL
 
 
@@ -56,7 +59,7 @@ def count_tokens(docs: DataFrame) -> DataFrame:
         seen: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["token", "c"])
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["token", "c"])
             seen.clear()
             return out
 
@@ -68,28 +71,25 @@ def count_tokens(docs: DataFrame) -> DataFrame:
                     yield flush()
         yield flush()
 
-    return docs.select("text").mapInArrow(run, "token string, c bigint").groupBy("token").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(run, "token binary, c bigint").groupBy("token").agg(F.sum("c").alias("c"))
 
 
 @dataclass
 class Model:
     """``symbol_of``: head tokens to symbols; symbols from ``len(symbol_of)`` on are tail classes."""
 
-    symbol_of: dict[str, int]
+    symbol_of: dict[bytes, int]
     start: np.ndarray
     move: np.ndarray  # from state x to state
     emit: np.ndarray  # symbol x state
 
-    def symbols(self, words: list[str]) -> tuple[np.ndarray, list[str]]:
+    def symbols(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
         """Symbols of a text with its end, and its tail tokens."""
-        get, n, tail, out = self.symbol_of.get, len(self.symbol_of), [], []
-        for w in words:
-            s = get(w)
-            if s is None:
-                tail.append(w)
-                s = n + shape(w)
-            out.append(s)
-        out.append(self.symbol_of[END])
+        n, tail, out = len(self.symbol_of), [], [*map(self.symbol_of.get, words), self.symbol_of[END]]
+        if None in out:
+            tail = [w for w, s in zip(words, out) if s is None]
+            rest = map(shape, tail)
+            out = [n + next(rest) if s is None else s for s in out]
         return np.array(out, np.int32), tail
 
 
@@ -99,8 +99,8 @@ def arrays(column: pa.ListArray) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(offsets, offsets[1:])]
 
 
-def grouped(sequences: list[np.ndarray], most: int = 512) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """Batches of sequences of like length as (their places, symbols by step, lengths), longest first."""
+def grouped(sequences: list[np.ndarray], most: int = 4096) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Batches of sequences of like length as (their places, symbols by step and -1 beyond their end, lengths), longest first."""
     order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
     at = 0
     while at < len(order):
@@ -110,123 +110,135 @@ def grouped(sequences: list[np.ndarray], most: int = 512) -> Iterator[tuple[list
             end += 1
         part = order[at:end]
         lengths = np.array([len(sequences[i]) for i in part])
-        steps = np.zeros((longest, len(part)), np.int32)
+        steps = np.full((longest, len(part)), -1, np.int32)
         for j, i in enumerate(part):
             steps[: lengths[j], j] = sequences[i]
         yield part, steps, lengths
         at = end
 
 
-def forward(model: Model, steps: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Scaled forward variables by step and the logarithm of each sequence's likelihood."""
-    t_max, n = steps.shape
-    alpha = np.zeros((t_max, n, len(model.start)))
-    scale = np.ones((t_max, n))
-    live = np.searchsorted(-lengths, -np.arange(t_max), side="left")  # sequences longer than t; lengths descend
-    a = np.broadcast_to(model.start, (n, len(model.start)))
-    for t in range(t_max):
-        k = live[t]
-        a = a[:k] * model.emit[steps[t, :k]] if t == 0 else (a[:k] @ model.move) * model.emit[steps[t, :k]]
-        s = a.sum(axis=1)
-        a = a / s[:, None]
-        alpha[t, :k], scale[t, :k] = a, s
-    return alpha, np.log(scale).sum(axis=0)
-
-
-def likelihood(model: Model, steps: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Natural logarithm of each sequence's likelihood by the scaled forward recursion; keeps one step."""
-    t_max, n = steps.shape
-    live = np.searchsorted(-lengths, -np.arange(t_max), side="left")
-    total, a = np.zeros(n), np.broadcast_to(model.start, (n, len(model.start)))
-    for t in range(t_max):
-        k = live[t]
-        a = a[:k] * model.emit[steps[t, :k]] if t == 0 else (a[:k] @ model.move) * model.emit[steps[t, :k]]
-        s = a.sum(axis=1)
-        a = a / s[:, None]
-        total[:k] += np.log(s)
-    return total
-
+def forward(model: Model, steps: np.ndarray, lo: int, hi: int, before: np.ndarray | None, kind: type = np.float64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scaled forward variables and emissions (step x state x sequence) of the steps ``lo:hi``, and the logarithm of all scales by sequence.
 
-CHUNK = 4096
+    ``before`` are the variables of step ``lo - 1``.  Emissions are scaled by their mean over the states, variables to
+    a sum of 1 at every ``SCALED`` th step and the last one; the emissions of such a step take over its scale, so that the
+    backward recursion on them stays in range too.  Beyond a sequence's end emissions are 1, which moves nothing.
+    """
+    scale = np.append(model.emit.mean(axis=1), 1)
+    along = (np.append(model.emit.T, np.ones((len(model.start), 1)), axis=1) / scale).astype(kind)  # the last symbol, -1, is 1 everywhere
+    k, back, start = len(model.start), np.ascontiguousarray(model.move.T, kind), model.start.astype(kind)
+    emitted = np.empty((hi - lo, k, steps.shape[1]), kind)
+    for j in range(k):
+        emitted[:, j] = along[j][steps[lo:hi]]
+    logs, alpha, a = np.log(scale)[steps[lo:hi]].sum(axis=0), np.empty_like(emitted), before
+    for i in range(hi - lo):
+        here = alpha[i]
+        if a is None:
+            here[:] = start[:, None]
+        else:
+            np.matmul(back, a, out=here)
+        here *= emitted[i]
+        if i % SCALED == SCALED - 1 or i == hi - lo - 1:
+            s = here.sum(axis=0)
+            here /= s
+            emitted[i] /= s
+            logs += np.log(s)
+        a = here
+    return alpha, emitted, logs
+
+
+def likelihood(model: Model, steps: np.ndarray, lengths: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
+    """Natural logarithm of each sequence's likelihood by the scaled forward recursion; keeps one chunk of steps."""
+    total, before = np.zeros(steps.shape[1]), None
+    for lo in range(0, len(steps), chunk):
+        alpha, _, logs = forward(model, steps, lo, min(lo + chunk, len(steps)), before)
+        total += logs
+        before = alpha[-1]
+    return total
 
 
-def expected(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts of starts, moves and emissions (the E step).
+def expected(model: Model, sequences: list[np.ndarray], chunk: int = CHUNK, kind: type = np.float32) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts of starts, moves and emissions (the E step) over whole sequences, and the logarithm of their likelihood.
 
-    Sequences longer than ``CHUNK`` are cut for the E step alone, which bounds its memory.
+    Long sequences are held ``chunk`` steps at a time: the forward variables before each chunk are kept, and the chunk's
+    own are computed again when the backward pass, which carries on across chunks, gets there.
     """
-    k = len(model.start)
-    start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros_like(model.emit)
-    cut = [s[i : i + CHUNK] for s in sequences for i in range(0, len(s), CHUNK)]
-    for _, steps, lengths in grouped(cut, 256):
-        alpha, _ = forward(model, steps, lengths)
-        t_max, n = steps.shape
-        live = np.searchsorted(-lengths, -np.arange(t_max + 1), side="left")
-        gamma = np.zeros_like(alpha)
-        beta = np.ones((n, k))
-        for t in range(t_max - 1, -1, -1):
-            m, later = live[t], live[t + 1]
-            if later:
-                ahead = model.emit[steps[t + 1, :later]] * beta[:later]
-                pair = alpha[t, :later]
-                z = ((pair @ model.move) * ahead).sum(axis=1)
-                move += model.move * ((pair / z[:, None]).T @ ahead)
-                b = ahead @ model.move.T
-                beta[:later] = b / b.sum(axis=1, keepdims=True)
-            g = alpha[t, :m] * beta[:m]
-            gamma[t, :m] = g / g.sum(axis=1, keepdims=True)
-        start += gamma[0].sum(axis=0)
-        valid = np.arange(t_max)[:, None] < lengths[None, :]
-        flat = steps[valid]
-        for j in range(k):
-            emit[:, j] += np.bincount(flat, weights=gamma[:, :, j][valid], minlength=len(emit))
-    return start, move, emit
-
-
-def maximised(symbol_of: dict[str, int], start: np.ndarray, move: np.ndarray, emit: np.ndarray, unigram: np.ndarray) -> Model:
+    k, move = len(model.start), model.move.astype(kind)
+    start, moves, emit, total = np.zeros(k), np.zeros((k, k)), np.zeros((len(model.emit) + 1, k)), 0.0
+    for _, steps, lengths in grouped(sequences):
+        cuts = [*range(0, len(steps), chunk), len(steps)]
+        before: list[np.ndarray | None] = [None]
+        for lo, hi in zip(cuts[:-2], cuts[1:-1]):
+            before.append(forward(model, steps, lo, hi, before[-1], kind)[0][-1])
+        carried = np.ones((k, steps.shape[1]), kind)
+        for lo, hi, first in reversed([*zip(cuts[:-1], cuts[1:], before)]):
+            alpha, ahead, logs = forward(model, steps, lo, hi, first, kind)
+            total += logs.sum()
+            later = np.empty_like(alpha)
+            later[-1] = carried
+            for i in range(hi - lo - 1, -1, -1):
+                ahead[i] *= later[i]
+                if i:
+                    np.matmul(move, ahead[i], out=later[i - 1])
+            carried = move @ ahead[0]
+            ahead *= (steps[lo:hi] >= 0)[:, None]
+            moves += np.tensordot(alpha[:-1], ahead[1:], axes=([0, 2], [0, 2]))
+            if first is not None:
+                moves += first @ ahead[0].T
+            alpha *= later
+            if lo == 0:
+                start += alpha[0].sum(axis=1)
+            flat = np.where(steps[lo:hi] < 0, len(model.emit), steps[lo:hi]).ravel()
+            for j in range(k):
+                emit[:, j] += np.bincount(flat, weights=alpha[:, j].ravel(), minlength=len(emit))
+    return start, moves * model.move, emit[:-1], total
+
+
+def maximised(symbol_of: dict[bytes, int], start: np.ndarray, move: np.ndarray, emit: np.ndarray, unigram: np.ndarray) -> Model:
     """The M step; emissions are smoothed towards the unigram distribution."""
     e = emit + 20.0 * unigram[:, None] + 1e-9
     m = move + 1.0
     return Model(symbol_of, (start + 1) / (start + 1).sum(), m / m.sum(axis=1, keepdims=True), e / e.sum(axis=0))
 
 
-def initial(symbol_of: dict[str, int], unigram: np.ndarray, states: int, seed: int = 3) -> Model:
+def initial(symbol_of: dict[bytes, int], unigram: np.ndarray, states: int, seed: int = 3) -> Model:
     rng = np.random.default_rng(seed)
     emit = (unigram[:, None] + 1e-9) * rng.gamma(1.0, 1.0, (len(unigram), states))
     move = np.full((states, states), 0.1 / max(states - 1, 1)) + np.eye(states) * (0.9 - 0.1 / max(states - 1, 1))
     return Model(symbol_of, np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def sums_of_counts(docs: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch counts of all ``docs``, added up across partitions by symbol block."""
+def sums_of_counts(docs: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts and log-likelihood of all ``docs``, added up by block: inside each task, then over ``SALTS`` groups of tasks, then over the groups."""
     k, n_symbols = len(model.start), len(model.emit)
     plain = Model({}, model.start, model.move, model.emit)
+    names = ["block", "salt", "part"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((n_symbols, k))
+        sums = [np.zeros(k), np.zeros((k, k)), np.zeros((n_symbols, k)), 0.0]
         for b in batches:
-            got = expected(plain, arrays(b.column("symbols")))
-            start, move, emit = start + got[0], move + got[1], emit + got[2]
-        flat = np.concatenate([start, move.ravel(), emit.ravel()])
+            sums = [x + y for x, y in zip(sums, expected(plain, arrays(b.column("symbols"))))]
+        flat, salt = np.concatenate([np.ravel(x) for x in sums]), TaskContext.get().partitionId() % SALTS
         for i in range(0, len(flat), 1024):
-            part = flat[i : i + 1024]
-            yield pa.RecordBatch.from_arrays([pa.array([i // 1024], pa.int32()), pa.array([part], pa.list_(pa.float64()))], names=["block", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array([i // 1024], pa.int32()), pa.array([salt], pa.int32()), pa.array([flat[i : i + 1024].tobytes()], pa.binary())], names=names)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
-            for block, part in zip(b.column("block").to_pylist(), b.column("part").to_pylist()):
-                sums[block] = sums.get(block, 0) + np.array(part)
+            for block, salt, part in zip(*(b.column(c).to_pylist() for c in names)):
+                sums[block, salt] = sums.get((block, salt), 0) + np.frombuffer(part, np.float64)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.list_(pa.float64()))], names=["block", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in sums], pa.int32()), pa.array([x for _, x in sums], pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=names)
 
-    schema = "block int, part array<double>"
-    rows = docs.mapInArrow(run, schema).repartition("block").mapInArrow(total, schema).collect()
-    flat = np.concatenate([r["part"] for r in sorted(rows, key=lambda r: r["block"])]) if rows else np.zeros(k + k * k + n_symbols * k)
-    return flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k :].reshape(n_symbols, k)
+    schema = "block int, salt int, part binary"
+    grouped_sums = docs.mapInArrow(run, schema).repartition("block", "salt").mapInArrow(total, schema).withColumn("salt", F.lit(0))
+    with releasing(docs.sparkSession):
+        rows = grouped_sums.repartition("block").mapInArrow(total, schema).collect()  # one row for each block
+    flat = np.concatenate([np.frombuffer(r["part"], np.float64) for r in sorted(rows, key=lambda r: r["block"])]) if rows else np.zeros(k + k * k + n_symbols * k + 1)
+    return flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k : -1].reshape(n_symbols, k), float(flat[-1])
 
 
-def score(docs: DataFrame, states: int = STATES, head: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, states: int = STATES, head: int = HEAD, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """Base and model scores of every document; learns from those whose crc32(id) mod 5 is not 1."""
     rows = texts(docs).withColumn("held_out", fold(F.col("doc_id"), 5) == 1)
     spark = docs.sparkSession
@@ -236,15 +248,15 @@ def score(docs: DataFrame, states: int = STATES, head: int = HEAD, rounds: int =
     # the head: all tokens of the highest frequency classes (eighths of an octave) that fit
     octave = F.floor(F.log2(F.col("c")) * 8).cast("int")
     least, room = 1 << 30, head
-    for r in sorted(counts.where(F.col("token") != END).groupBy(octave.alias("o")).count().collect(), key=lambda r: -r["o"]):
+    for r in sorted(counts.where(F.length("token") > 0).groupBy(octave.alias("o")).count().collect(), key=lambda r: -r["o"]):
         room -= r["count"]
         if room < 0:
             break
         least = r["o"]
-    best = sorted(counts.where((F.col("token") != END) & (octave >= least)).collect(), key=lambda r: (-r["c"], r["token"]))
-    symbol_of = {r["token"]: i for i, r in enumerate(best)} | {END: len(best)}
+    best = sorted(counts.where((F.length("token") > 0) & (octave >= least)).collect(), key=lambda r: (-r["c"], bytes(r["token"])))
+    symbol_of = {bytes(r["token"]): i for i, r in enumerate(best)} | {END: len(best)}
     n_head = len(symbol_of)
-    ends = counts.where(F.col("token") == END).first()
+    ends = counts.where(F.length("token") == 0).first()
     head_counts = np.array([r["c"] for r in best] + [ends["c"] if ends else 0], float)
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,17 +283,22 @@ def score(docs: DataFrame, states: int = STATES, head: int = HEAD, rounds: int =
         for b in sliced(batches, 2_500):
             out = [probe.symbols(tokens(t)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("held_out"), pa.array([s for s, _ in out], pa.list_(pa.int32())), pa.array([t for _, t in out], pa.list_(pa.string()))],
+                [b.column("doc_id"), b.column("held_out"), pa.array([s for s, _ in out], pa.list_(pa.int32())), pa.array([t for _, t in out], pa.list_(pa.binary()))],
                 names=["doc_id", "held_out", "symbols", "tail"],
             )
 
     # uid tells repeated ids apart; the stored table fixes it
-    seen = keep(rows.mapInArrow(read, "doc_id bigint, held_out boolean, symbols array<int>, tail array<string>").withColumn("uid", F.monotonically_increasing_id()), "symbols")
+    seen = keep(rows.mapInArrow(read, "doc_id bigint, held_out boolean, symbols array<int>, tail array<binary>").withColumn("uid", F.monotonically_increasing_id()), "symbols")
     training = seen.where(~F.col("held_out")).select("symbols")
 
     model = initial(symbol_of, unigram, states)
+    before = None
     for _ in range(rounds):
-        model = maximised(symbol_of, *sums_of_counts(training, model), unigram)
+        *sums, likely = sums_of_counts(training, model)
+        model = maximised(symbol_of, *sums, unigram)
+        if before is not None and likely - before < tolerance * max(sums[2].sum(), 1):
+            break
+        before = likely
     plain = Model({}, model.start, model.move, model.emit)  # scoring needs no tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
