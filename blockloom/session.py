@@ -47,3 +47,13 @@ def keep(df: DataFrame, name: str = "table") -> DataFrame:
     with releasing(spark):  # the copy is read from now on
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(kept: DataFrame) -> None:
+    """Remove the files of a table that ``keep`` has stored and nothing will read again."""
+    spark = kept.sparkSession
+    folders = {os.path.dirname(f) for f in kept.inputFiles()}
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if os.path.basename(os.path.dirname(folder)) == os.path.basename(shared_dir(spark)):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

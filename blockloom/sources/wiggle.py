@@ -28,6 +28,15 @@ def expand(lines: DataFrame, prefix: str = "") -> DataFrame:
     return spread
 
 
+def numbered(lines: DataFrame) -> DataFrame:
+    """Lines (``value``) with a dense ``line_no``: counted inside partitions, then shifted by the lines of the partitions before."""
+    rows = lines.withColumn("id", F.monotonically_increasing_id()).withColumn("pid", F.shiftright("id", 33))
+    totals = rows.groupBy("pid").agg(F.count("*").alias("n"))
+    before = totals.select("pid", (F.sum("n").over(Window.orderBy("pid")) - F.col("n")).alias("before"))  # one record per partition
+    return rows.join(F.broadcast(before), "pid").select("value", (F.col("id").bitwiseAND((1 << 33) - 1) + F.col("before")).alias("line_no"))
+
+
 def read(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
-    """A track from a text file; comment and blank lines don't belong between data lines of a fixedStep section."""
-    return expand(spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id()), prefix)
+    """A track from a text file of any number of splits; comment, browser, track and blank lines count for nothing."""
+    lines = spark.read.text(path).where(r"trim(value) <> '' and not value rlike '^(#|browser|track)'")
+    return expand(numbered(lines), prefix)

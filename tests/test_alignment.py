@@ -328,3 +328,19 @@ def test_partition_count_changes_nothing(spark, tmp_path):
         made.append((plain(norm.merge_blocks(aln)), sorted(map(tuple, coverage.coverage(aln, thresholds=[0, 3]).collect()))))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert made[0] == made[1]
+
+
+def test_wiggle_of_several_splits(spark, tmp_path):
+    """Positions of a fixedStep section don't depend on how the file is split, nor on comments."""
+    text = ["fixedStep chrom=c start=11 step=2"]
+    for i in range(6000):
+        text += [str(i)] + ["# a comment", ""] * (i % 1000 == 7)
+    (tmp_path / "w").write_text("\n".join(text) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert spark.read.text(str(tmp_path / "w")).rdd.getNumPartitions() > 3
+        got = sorted((r.pos, r.value) for r in wiggle.read(spark, str(tmp_path / "w")).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [(10 + 2 * i, float(i)) for i in range(6000)]
