@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from blockloom.session import keep
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``links`` (``a, b``); ``root`` is the least node of its component.
 
     Each round gives a node the least root among its neighbours and then that
@@ -20,7 +20,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     edges = keep(links.where("a is not null and b is not null").select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     roots = keep(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("root")), "roots")
-    for _ in range(most_rounds):
+    while True:  # roots only sink, so this ends
         near = edges.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         lower = roots.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
         jump = lower.select(F.col("low").alias("of")).distinct().join(roots.select(F.col("node").alias("of"), F.col("root").alias("up")), "of")
@@ -29,7 +29,6 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         roots = new.select("node", "root")
         if not changed:
             return roots
-    raise RuntimeError(f"components did not settle within {most_rounds} rounds")
 
 
 def stars(nodes: list[int] | np.ndarray, component: list[int] | np.ndarray) -> list[tuple[int, int]]:

@@ -1,6 +1,6 @@
 """Document fingerprints: canonical exact digest (native).
 
-A text is brought to a canonical form (Unicode composition, lower case, ASCII
+A text is brought to a canonical form (Unicode composition, case folding, ASCII
 white space folded to single blanks and trimmed), hashed by two xxhash64 with
 different seeds into 128 bits, and documents with equal digests are compared
 byte by byte.  Should different canonical texts ever share a digest, a SHA-256
@@ -24,9 +24,10 @@ SALT = 16
 
 
 def canonical(text: Column) -> Column:
-    """NFC, lower case, ASCII white space folded."""
+    """NFC, full case folding, ASCII white space folded."""
     composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
-    return F.trim(F.regexp_replace(F.lower(composed), r"[\x20\x09-\x0D]+", " "))
+    folded = F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed, F.lit(True))
+    return F.trim(F.regexp_replace(folded, r"[\x20\x09-\x0D]+", " "))
 
 
 def digest(canon: Column) -> Column:

@@ -23,7 +23,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -82,6 +82,15 @@ class Model:
     start: np.ndarray
     move: np.ndarray  # from state x to state
     emit: np.ndarray  # symbol x state
+    made: dict = field(default_factory=dict, repr=False)
+
+    def scaled(self, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        """Emissions (state x symbol) by their mean over the states, and its logarithm; a last symbol, -1, is 1 everywhere."""
+        if kind not in self.made:
+            scale = np.append(self.emit.mean(axis=1), 1)
+            along = np.append(self.emit.T, np.ones((len(self.start), 1)), axis=1) / scale
+            self.made[kind] = along.astype(kind), np.log(scale)
+        return self.made[kind]
 
     def symbols(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
         """Symbols of a text with its end, and its tail tokens."""
@@ -124,19 +133,18 @@ def forward(model: Model, steps: np.ndarray, lo: int, hi: int, before: np.ndarra
     a sum of 1 at every ``SCALED`` th step and the last one; the emissions of such a step take over its scale, so that the
     backward recursion on them stays in range too.  Beyond a sequence's end emissions are 1, which moves nothing.
     """
-    scale = np.append(model.emit.mean(axis=1), 1)
-    along = (np.append(model.emit.T, np.ones((len(model.start), 1)), axis=1) / scale).astype(kind)  # the last symbol, -1, is 1 everywhere
+    along, log_scale = model.scaled(kind)
     k, back, start = len(model.start), np.ascontiguousarray(model.move.T, kind), model.start.astype(kind)
     emitted = np.empty((hi - lo, k, steps.shape[1]), kind)
     for j in range(k):
         emitted[:, j] = along[j][steps[lo:hi]]
-    logs, alpha, a = np.log(scale)[steps[lo:hi]].sum(axis=0), np.empty_like(emitted), before
+    logs, alpha, a = log_scale[steps[lo:hi]].sum(axis=0), np.empty_like(emitted), before
     for i in range(hi - lo):
         here = alpha[i]
         if a is None:
             here[:] = start[:, None]
         else:
-            np.matmul(back, a, out=here)
+            np.dot(back, a, out=here)
         here *= emitted[i]
         if i % SCALED == SCALED - 1 or i == hi - lo - 1:
             s = here.sum(axis=0)
@@ -179,7 +187,7 @@ def expected(model: Model, sequences: list[np.ndarray], chunk: int = CHUNK, kind
             for i in range(hi - lo - 1, -1, -1):
                 ahead[i] *= later[i]
                 if i:
-                    np.matmul(move, ahead[i], out=later[i - 1])
+                    np.dot(move, ahead[i], out=later[i - 1])
             carried = move @ ahead[0]
             ahead *= (steps[lo:hi] >= 0)[:, None]
             moves += np.tensordot(alpha[:-1], ahead[1:], axes=([0, 2], [0, 2]))
