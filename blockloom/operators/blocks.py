@@ -28,16 +28,18 @@ def unnormalise(rows: DataFrame) -> DataFrame:
 
     New blocks are ``block_id, segment``; rows without bases in a segment are left out, a block whose reference is all gaps goes.
     """
-    rows = with_reference(rows, "bases")
-    runs = F.filter(F.split(F.regexp_replace("ref_bases", "-+", "-"), "-"), lambda s: s != "")  # the reference's pieces, for their number
-    rows = rows.where(F.size(runs) > 0).withColumn("places", _slots("ref_bases"))
+    places = _slots()
     # a segment begins at a base after a gap or at the front
     starts = F.filter(F.transform("places", lambda p, k: F.when((k == 0) | (p != F.get("places", k - 1) + 1), p)), lambda p: p.isNotNull())
     ends = F.filter(F.transform("places", lambda p, k: F.when(F.coalesce(F.get("places", k + 1) != p + 1, F.lit(True)), p + 1)), lambda p: p.isNotNull())
-    rows = rows.withColumn("starts", starts).withColumn("ends", ends)
-    out = rows.select("block_id", "row_index", "sequence_name", "start", "strand", "sequence_length", "bases", "ends", F.posexplode("starts").alias("segment", "a"))
-    out = out.withColumn("b", F.get("ends", "segment")).withColumn("part", F.expr("substring(bases, a + 1, b - a)"))
-    out = out.withColumn("length", F.length(F.regexp_replace("part", "-", "")).cast("long")).where("length > 0")
-    place = F.col("start") + F.length(F.expr("replace(substring(bases, 1, a), '-', '')"))
+    rows = rows.withColumn("places", F.when(F.col("row_index") == 0, places))
+    rows = rows.withColumn("cuts", F.when(F.col("row_index") == 0, F.arrays_zip(starts.alias("a"), ends.alias("b")))).drop("places")
+    rows = with_reference(rows, "cuts").where(F.size("ref_cuts") > 0)  # once per block, from its reference row
+    part = lambda x: F.substring("bases", x["a"] + 1, x["b"] - x["a"])
+    bases_in = lambda text: F.length(F.replace(text, F.lit("-"), F.lit(""))).cast("long")
+    pieces = F.transform("ref_cuts", lambda x, k: F.struct(k.cast("long").alias("segment"), part(x).alias("part"), x["a"].alias("a")))
+    some = F.filter(pieces, lambda x: F.translate(x["part"], "-", "") != "")
+    out = rows.withColumn("piece", F.explode(F.transform(some, lambda x: F.struct(x["segment"].alias("segment"), x["part"].alias("bases"), (F.col("start") + bases_in(F.substring("bases", F.lit(1), x["a"]))).alias("start")))))
+    out = out.select("block_id", "row_index", "sequence_name", "strand", "sequence_length", "piece.*").withColumn("length", bases_in(F.col("bases")))
     rank = F.row_number().over(Window.partitionBy("block_id", "segment").orderBy("row_index")) - 1
-    return out.select("block_id", F.col("segment").cast("long").alias("segment"), rank.cast("long").alias("row_index"), "sequence_name", place.cast("long").alias("start"), "length", "strand", "sequence_length", F.col("part").alias("bases"))
+    return out.select("block_id", "segment", rank.cast("long").alias("row_index"), "sequence_name", "start", "length", "strand", "sequence_length", "bases")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockloom.functions.scalars import default_genome, genome_in
+from blockloom.operators.columns import SHARD
+from blockloom.session import keep
 
 
 def genome_of(name: Column, genomes: list[str] | None) -> Column:
@@ -18,7 +20,7 @@ def genome_of(name: Column, genomes: list[str] | None) -> Column:
 
 
 def block_coverage(rows: DataFrame, genomes: list[str] | None = None, reference: str | None = None) -> DataFrame:
-    """One record per block and genome: counts, and the reference positions at which the genome is aligned.
+    """One record per block and genome: counts, the first and last reference position at which the genome is aligned, and the gaps between.
 
     The reference row is the first of the block, or the first of genome ``reference``; blocks without one are left out.
     A genome counts once per column however many copies it has; ``single`` blocks have one row of it and one of the reference's genome.
@@ -41,7 +43,11 @@ def block_coverage(rows: DataFrame, genomes: list[str] | None = None, reference:
     count = lambda s: F.size(F.filter("state", lambda x: x >= s)).cast("long")
     out = folded.select("block_id", F.col("ref.contig").alias("contig"), F.col("ref.n").alias("ref_length"), "genome", count(1).alias("aligned"), count(2).alias("identical"), single.alias("single"), hit.alias("hit"))
     one = lambda c: F.when(F.col("single"), F.col(c)).otherwise(F.lit(0)).cast("long")
-    return out.withColumn("single_aligned", one("aligned")).withColumn("single_identical", one("identical"))
+    inner = F.filter(F.transform("hit", lambda x, k: x - F.get("hit", k - 1) - 1), lambda g: g > 0)
+    return out.select(
+        "block_id", "contig", "ref_length", "genome", "aligned", "identical", one("aligned").alias("single_aligned"), one("identical").alias("single_identical"),
+        F.get("hit", F.lit(0)).alias("first"), F.get("hit", F.size("hit") - 1).alias("last"), inner.alias("inner"),
+    )
 
 
 COUNTS = ["aligned", "identical", "single_aligned", "single_identical"]
@@ -51,14 +57,18 @@ def gaps(blocks: DataFrame, lengths: DataFrame) -> DataFrame:
     """``contig, genome, gap``: each stretch of reference bases between aligned ones.
 
     The position before the first is 0, so a genome that begins at ``p`` has a first gap of ``p - 1``; the last gap reaches the contig's end.
-    Gaps inside a block come from its own array, gaps between blocks from the block before.
+    Gaps inside a block stand in its record; those between blocks need the last position before, which is looked up inside
+    shards of blocks and then over one record per shard.
     """
-    some = blocks.where(F.size("hit") > 0)
-    order = Window.partitionBy("contig", "genome").orderBy("block_id")
-    before = F.coalesce(F.lag(F.element_at("hit", -1)).over(order), F.lit(0).cast("long"))
-    inside = some.withColumn("before", before).select("contig", "genome", F.explode(F.filter(F.transform("hit", lambda x, k: x - F.when(k == 0, F.col("before")).otherwise(F.get("hit", k - 1)) - 1), lambda g: g > 0)).alias("gap"))
-    ends = blocks.groupBy("contig", "genome").agg(F.max_by(F.element_at(F.when(F.size("hit") > 0, F.col("hit")), -1), F.when(F.size("hit") > 0, F.col("block_id"))).alias("last"))
-    tail = ends.join(lengths, "contig").select("contig", "genome", (F.col("ref_length") - F.coalesce("last", F.lit(0)) - 1).alias("gap")).where("gap > 0")
+    some = blocks.where("first is not null").withColumn("shard", F.expr(f"block_id div {SHARD}"))
+    ends = some.groupBy("contig", "genome", "shard").agg(F.max_by("last", "block_id").alias("end"))
+    earlier = ends.select("contig", "genome", "shard", F.lag("end").over(Window.partitionBy("contig", "genome").orderBy("shard")).alias("end"))
+    here = some.withColumn("before", F.lag("last").over(Window.partitionBy("contig", "genome", "shard").orderBy("block_id")))
+    opens = here.where("before is null").join(earlier, ["contig", "genome", "shard"]).withColumn("before", F.coalesce("end", F.lit(0).cast("long"))).drop("end")
+    linked = here.where("before is not null").unionByName(opens)
+    inside = linked.select("contig", "genome", F.explode(F.concat("inner", F.array(F.col("first") - F.col("before") - 1))).alias("gap")).where("gap > 0")
+    reach = blocks.select("contig", "genome").distinct().join(ends.groupBy("contig", "genome").agg(F.max_by("end", "shard").alias("last")), ["contig", "genome"], "left")
+    tail = reach.join(lengths, "contig").select("contig", "genome", (F.col("ref_length") - F.coalesce("last", F.lit(0)) - 1).alias("gap")).where("gap > 0")
     return inside.unionByName(tail)
 
 
@@ -79,7 +89,7 @@ def coverage(rows: DataFrame, genomes: list[str] | None = None, reference: str |
 
     ``len`` is the contig's length less the bases in gaps longer than ``max_gap``; the threshold -1 stands for the whole length.
     """
-    blocks = block_coverage(rows, genomes, reference)
+    blocks = keep(block_coverage(rows, genomes, reference), "coverage")  # narrow; read four times below
     lengths = contig_lengths(blocks)
     sums = blocks.groupBy("contig", "genome").agg(*(F.sum(c).alias(c) for c in COUNTS))
     lost = gaps(blocks, lengths).groupBy("contig", "genome", "gap").agg(F.sum("gap").alias("lost"))

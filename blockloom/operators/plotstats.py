@@ -41,15 +41,18 @@ def bins(rows: DataFrame, bin_size: int) -> DataFrame:
     ref = rows.where("row_index = 0").select("block_id", F.col("length").alias("w"))
     offsets = block_offsets(ref)
     rows = with_reference(rows, "bases").where("row_index > 0").join(offsets, "block_id")
-    places = F.filter(F.sequence(F.lit(0), F.length("ref_bases") - 1), lambda i: F.substring(F.col("ref_bases"), i + 1, F.lit(1)) != "-")
-    cells = F.transform(places, lambda p, k: F.struct(F.floor((F.col("offset") + k) / bin_size).alias("bin"), F.upper(F.substring("ref_bases", p + 1, F.lit(1))).alias("r"), F.upper(F.substring("bases", p + 1, F.lit(1))).alias("q")))
-    species = default_genome(F.col("sequence_name"))
-    # counts per row and bin first: one record per row and bin, not per base
-    mine = rows.select("block_id", "row_index", species.alias("species"), cells.alias("cells"))
-    own = F.array_distinct(F.transform("cells", lambda c: c["bin"]))
-    mine = mine.select("species", "cells", F.explode(own).alias("bin"))
-    hit = F.filter("cells", lambda c: (c["bin"] == F.col("bin")) & (c["q"] != "-"))
-    counted = mine.select("species", "bin", F.size(hit).cast("long").alias("aligned"), F.size(F.filter(hit, lambda c: (c["q"] == c["r"]) | (c["q"] == "*"))).cast("long").alias("matched"))
+    # a code per reference base: 0 gap, 1 aligned, 2 equal or masked
+    code = lambda q, r: F.when(r == "-", None).when(q == "-", 0).when((q == r) | (q == "*"), 2).otherwise(1)
+    codes = F.array_compact(F.zip_with(F.split(F.upper("bases"), ""), F.split(F.upper("ref_bases"), ""), code))
+    mine = rows.select(default_genome(F.col("sequence_name")).alias("species"), "offset", codes.alias("codes")).where(F.size("codes") > 0)
+    # each bin takes its own slice, so a code is read once
+    nth = lambda i: F.floor(i / bin_size)
+    touched = F.sequence(nth(F.col("offset")), nth(F.col("offset") + F.size("codes") - 1))
+    begin = lambda b: F.greatest(b * bin_size - F.col("offset"), F.lit(0)).cast("int")
+    own = lambda b: F.slice("codes", begin(b) + 1, begin(b + 1) - begin(b))
+    many = lambda cells, least: F.size(F.filter(cells, lambda c: c >= least)).cast("long")
+    cells = F.explode(F.transform(touched, lambda b: F.struct(b.alias("bin"), own(b).alias("codes")))).alias("cell")
+    counted = mine.select("species", cells).select("species", "cell.bin", many("cell.codes", 1).alias("aligned"), many("cell.codes", 2).alias("matched"))
     return counted.groupBy("bin", "species").agg(F.sum("aligned").alias("aligned"), F.sum("matched").alias("matched"))
 
 
