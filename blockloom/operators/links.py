@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,46 +44,70 @@ def fast_links(rows: DataFrame) -> DataFrame:
     return paired(rows).where("fast").select("r.block_id", "r.row_index", F.col("l.block_id").alias("l_block_id"), F.col("l.row_index").alias("l_row_index"))
 
 
-def common_rows(rows: DataFrame) -> DataFrame:
-    """``block_id, common, max_gap`` for each block pair: how many rows continue the row of the same index, and the widest gap."""
-    gap = F.expr("r.start - (l.start + l.length)")
-    both = paired(rows).groupBy(F.col("r.block_id").alias("block_id")).agg(F.sum(F.col("ok").cast("long")).alias("common"), F.max(F.when(F.col("ok"), gap)).alias("max_gap"))
-    return both.select("block_id", "common", F.coalesce("max_gap", F.lit(0)).alias("max_gap"))
-
-
 def diff_links(rows: DataFrame, substitutions: bool = True) -> DataFrame:
     """``block_id, row_index, l_row_index`` (null: inserted) by an ordered alignment of the two row lists.
 
     Rows may pair only in order; a pair that isn't a predecessor is a substitution and counts as one edit, if allowed.
+    Lists that pair one to one are linked so without an alignment, which is the only one without edits.
     """
-    numbered = rows.join(block_ordinals(rows), "block_id").select("ordinal", "block_id", "row_index", "sequence_name", "start", "length", "strand")
-    again = numbered.withColumn("side", F.lit("r")).unionByName(numbered.withColumn("side", F.lit("l")).withColumn("ordinal", F.col("ordinal") + 1))
+    numbered = rows.join(block_ordinals(rows), "block_id")
+    record = F.struct("row_index", "sequence_name", "start", "length", "strand")
+    blocks = numbered.groupBy("ordinal", "block_id").agg(F.array_sort(F.collect_list(record)).alias("r"))
+    left = blocks.select((F.col("ordinal") + 1).alias("ordinal"), F.col("r").alias("l"))
+    follows = lambda x, y: x["strand"] == y["strand"] and x["start"] + x["length"] <= y["start"] and x["sequence_name"] == y["sequence_name"]
+    schema = pa.schema([("block_id", pa.int64()), ("row_index", pa.int64()), ("l_row_index", pa.int64())])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for block, right, left in zip(*(batch.column(c).to_pylist() for c in ("block_id", "r", "l"))):
+                left = left or []
+                if len(left) == len(right) and all(map(follows, left, right)):
+                    to = dict(enumerate(range(len(right))))
+                else:
+                    pairs = wavefront(left, right, follows, 1, 1 if substitutions else 10**8)
+                    to = {j: i for i, j in pairs if i is not None and j is not None}
+                out += [(block, r["row_index"], left[to[j]]["row_index"] if j in to else None) for j, r in enumerate(right)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 3, schema=schema)
+
+    return blocks.join(left, "ordinal", "left").select("block_id", "r", "l").mapInArrow(link, "block_id bigint, row_index bigint, l_row_index bigint")
+
+
+def linked(rows: DataFrame) -> DataFrame:
+    """Each row ``r`` with the row ``l`` that it is linked to by the ordered alignment, and whether it continues that row (``ok``)."""
+    numbered = rows.join(block_ordinals(rows), "block_id")
+    record = F.struct("block_id", "row_index", "sequence_name", "start", "length", "strand", "sequence_length")
+    left = numbered.select((F.col("ordinal") + 1).alias("ordinal"), F.col("row_index").alias("l_row_index"), record.alias("l"))
+    right = numbered.join(diff_links(rows), ["block_id", "row_index"]).select("ordinal", "l_row_index", record.alias("r"))
+    return right.join(left, ["ordinal", "l_row_index"], "left").withColumn("ok", F.coalesce(is_predecessor(), F.lit(False)))
+
+
+def _pairs(rows: DataFrame, same_index: bool) -> DataFrame:
+    return paired(rows) if same_index else linked(rows)
+
 
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_index")
-        left, right = (pdf[pdf.side == s] for s in "lr")
-        a, b = ([*zip(d.sequence_name, d.start, d.length, d.strand)] for d in (left, right))
-        follows = lambda x, y: x[3] == y[3] and x[1] + x[2] <= y[1] and x[0] == y[0]
-        pairs = wavefront(a, b, follows, 1, 1 if substitutions else 10**8)
-        to = {j: i for i, j in pairs if i is not None and j is not None}
-        index = left.row_index.tolist()
-        return pd.DataFrame({"block_id": right.block_id.to_numpy(), "row_index": right.row_index.to_numpy(), "l_row_index": pd.array([index[to[j]] if j in to else None for j in range(len(right))], "Int64")})
+def common_rows(rows: DataFrame, same_index: bool = False) -> DataFrame:
+    """``block_id, common, max_gap`` for each block: how many rows continue the row before that they are linked to, and the widest gap.
 
-    return again.groupBy("ordinal").applyInPandas(link, "block_id bigint, row_index bigint, l_row_index bigint")
+    ``same_index`` takes the row of the same index instead of the linked one, which is exact where no row comes or goes.
+    """
+    gap = F.expr("r.start - (l.start + l.length)")
+    both = _pairs(rows, same_index).groupBy(F.col("r.block_id").alias("block_id")).agg(F.sum(F.col("ok").cast("long")).alias("common"), F.max(F.when(F.col("ok"), gap)).alias("max_gap"))
+    return both.select("block_id", "common", F.coalesce("max_gap", F.lit(0)).alias("max_gap"))
 
 
-def gap_lengths(rows: DataFrame) -> DataFrame:
-    """``block_id, row_index, gap`` between each row and the one it continues."""
-    return paired(rows).where("ok").select("r.block_id", "r.row_index", F.expr("r.start - (l.start + l.length)").alias("gap"))
+def gap_lengths(rows: DataFrame, same_index: bool = False) -> DataFrame:
+    """``block_id, row_index, gap`` between each row and the one it continues; ``same_index`` as in ``common_rows``."""
+    return _pairs(rows, same_index).where("ok").select("r.block_id", "r.row_index", F.expr("r.start - (l.start + l.length)").alias("gap"))
 
 
-def gap_bases(rows: DataFrame, sequences: DataFrame, most: int = 50) -> DataFrame:
+def gap_bases(rows: DataFrame, sequences: DataFrame, most: int = 50, same_index: bool = False) -> DataFrame:
     """``block_id, row_index, left_gap_sequence``: the bases between linked rows, from ``name, seq``; null where there are none to give.
 
-    ``most`` caps the gap (-1: no cap).  On the - strand the bases are those of the reverse complement.
+    ``most`` caps the gap (-1: no cap); ``same_index`` as in ``common_rows``.  On the - strand the bases are those of the reverse complement.
     """
-    linked = paired(rows).where("ok").select("r.block_id", "r.row_index", "r.sequence_name", "r.strand", "r.sequence_length", F.expr("l.start + l.length").alias("at"), F.expr("r.start - (l.start + l.length)").alias("gap"))
-    wanted = linked.where((F.col("gap") > 0) & (F.lit(most < 0) | (F.col("gap") <= most)))
+    found = _pairs(rows, same_index).where("ok").select("r.block_id", "r.row_index", "r.sequence_name", "r.strand", "r.sequence_length", F.expr("l.start + l.length").alias("at"), F.expr("r.start - (l.start + l.length)").alias("gap"))
+    wanted = found.where((F.col("gap") > 0) & (F.lit(most < 0) | (F.col("gap") <= most)))
     found = wanted.join(sequences, F.col("sequence_name") == F.col("name"), "left")
     plus, minus = F.expr("substring(seq, cast(at + 1 as int), cast(gap as int))"), reverse_complement(F.expr("substring(seq, cast(sequence_length - at - gap + 1 as int), cast(gap as int))"))
     return found.select("block_id", "row_index", F.when(F.col("strand"), plus).otherwise(minus).alias("left_gap_sequence"))

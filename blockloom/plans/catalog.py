@@ -354,20 +354,24 @@ def row_links_fast(aln, spark):
 
 @query(LINK + " select block_id, cast(sum(case when ok then 1 else 0 end) as bigint) as common, coalesce(max(case when ok then start - le end), 0) as max_gap from fs group by 1")
 def common_rows(aln, spark):
-    return links.common_rows(aln)
+    return links.common_rows(aln, same_index=True)
 
 
 @query(LINK + " select block_id, row_index, start - le as gap from fs where ok")
 def gap_lengths(aln, spark):
-    return links.gap_lengths(aln)
+    return links.gap_lengths(aln, same_index=True)
 
 
 @query(LINK + """, q as (select sequence_name as name, repeat(translate(md5(sequence_name), '0123456789abcdef', 'ACGTACGTACGTACGT'), cast(ceil(max(sequence_length) / 32.0) as int)) as seq from aln group by 1)
 select block_id, row_index, case when strand then substr(seq, cast(le + 1 as bigint), start - le) else translate(reverse(substr(seq, sequence_length - start + 1, start - le)), 'ACGT', 'TGCA') end as left_gap_sequence
 from fs join q on sequence_name = name where ok and start > le and start - le <= 50""")
 def gap_bases(aln, spark):
-    seq = aln.groupBy(F.col("sequence_name").alias("name")).agg(F.max("sequence_length").alias("n")).select("name", F.expr("repeat(translate(md5(name), '0123456789abcdef', 'ACGTACGTACGTACGT'), cast(ceil(n / 32.0) as int))").alias("seq"))
-    return links.gap_bases(aln, seq, 50)
+    return links.gap_bases(aln, _sequences(aln), 50, same_index=True)
+
+
+def _sequences(aln):
+    """Invented bases for each sequence of the alignment."""
+    return aln.groupBy(F.col("sequence_name").alias("name")).agg(F.max("sequence_length").alias("n")).select("name", F.expr("repeat(translate(md5(name), '0123456789abcdef', 'ACGTACGTACGTACGT'), cast(ceil(n / 32.0) as int))").alias("seq"))
 
 
 @query()
@@ -375,6 +379,21 @@ def row_links_diff(aln, spark):
     return links.diff_links(aln)
 
 
+@query()
+def common_rows_linked(aln, spark):
+    return links.common_rows(aln)
+
+
+@query()
+def gap_lengths_linked(aln, spark):
+    return links.gap_lengths(aln)
+
+
+@query()
+def gap_bases_linked(aln, spark):
+    return links.gap_bases(aln, _sequences(aln), 50)
+
+
 PAF = """, tg as (select * from aln {target}),
 pp as (select q.block_id, t.row_index as target_row, q.row_index as query_row, q.sequence_name as query_name, q.sequence_length as query_length,
    case when q.strand then q.start else q.sequence_length - q.start - q.length end as query_start, q.length as ql, case when q.strand = t.strand then '+' else '-' end as strand,

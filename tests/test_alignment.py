@@ -233,6 +233,38 @@ def test_links_and_gaps(spark):
     assert found[(5, 0)] == 0 and found[(5, 1)] == 1 and found[(9, 1)] == 0 and found[(9, 0)] is None
 
 
+def test_links_follow_rows_that_come_and_go(spark):
+    aln = frame(spark, (0, 0, "a", 0, 2, True, 20, "AC"), (0, 1, "b", 0, 2, True, 20, "AC"), (1, 0, "a", 5, 2, True, 20, "AC"), (1, 1, "n", 3, 2, True, 20, "AC"), (1, 2, "b", 3, 2, True, 20, "AC"), (2, 0, "b", 9, 1, True, 20, "A"))
+    assert {(r.block_id, r.common, r.max_gap) for r in links.common_rows(aln).collect()} == {(0, 0, 0), (1, 2, 3), (2, 1, 4)}
+    assert {(r.block_id, r.common) for r in links.common_rows(aln, same_index=True).collect()} == {(0, 0), (1, 1), (2, 0)}
+    assert {(r.block_id, r.row_index, r.gap) for r in links.gap_lengths(aln).collect()} == {(1, 0, 3), (1, 2, 1), (2, 0, 4)}
+    seq = spark.createDataFrame([("a", "ACGTACGTAC"), ("b", "AAGGTTCCAA")], "name string, seq string")
+    assert {(r.block_id, r.row_index, r.left_gap_sequence) for r in links.gap_bases(aln, seq).collect()} == {(1, 0, "GTA"), (1, 2, "G"), (2, 0, "TCCA")}
+    assert links.common_rows(aln.limit(0)).count() == 0
+
+
+def test_links_are_cheapest_alignments(spark):
+    """Against the plain recursion over both row lists, on random blocks."""
+    random.seed(11)
+    table = [(b, i, random.choice("abc"), random.randint(0, 4) + 3 * b, random.randint(1, 3), random.random() < 0.9, 99, "A") for b in range(0, 60, 2) for i in range(random.randint(1, 5))]
+    got: dict = {}
+    for r in links.diff_links(frame(spark, *table)).collect():
+        got.setdefault(r.block_id, {})[r.row_index] = r.l_row_index
+    assert {(b, i) for b, rows in got.items() for i in rows} == {t[:2] for t in table}
+    for block in range(0, 60, 2):
+        left, right = ([t for t in table if t[0] == b] for b in (block - 2, block))
+        ok = [[x[5] == y[5] and x[3] + x[4] <= y[3] and x[2] == y[2] for y in right] for x in left]
+        p = list(range(len(right) + 1))
+        for i in range(len(left)):
+            q = [i + 1]
+            for j in range(len(right)):
+                q.append(min(p[j] + (not ok[i][j]), p[j + 1] + 1, q[-1] + 1))
+            p = q
+        to = [(l, j) for j, l in sorted(got[block].items()) if l is not None]
+        assert to == sorted(to) and len({l for l, _ in to}) == len(to)
+        assert sum(not ok[l][j] for l, j in to) + len(left) + len(right) - 2 * len(to) == p[-1]
+
+
 def test_alignment_is_cheapest():
     def cost(a, b, g, x):
         p = [j * g for j in range(len(b) + 1)]
