@@ -23,18 +23,38 @@ def drop_all_gap_columns(rows: DataFrame) -> DataFrame:
     return rows.withColumn("bases", F.when(F.size("used") < F.length("bases"), short).otherwise(F.col("bases"))).drop("used")
 
 
-def unnormalise(rows: DataFrame) -> DataFrame:
-    """Split blocks where the reference has gaps and drop those columns.
+def tags_without_gap_columns(rows: DataFrame, tags: DataFrame) -> DataFrame:
+    """``block_id, col, tags`` of the columns that ``drop_all_gap_columns`` keeps of ``rows``, at their new places."""
+    used = rows.groupBy("block_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(_slots())))).alias("used"))
+    used = used.withColumn("used", F.when(F.size("used") == 0, F.array(F.lit(0))).otherwise(F.col("used")))
+    at = F.array_position("used", F.col("col").cast("int"))
+    return tags.join(used, "block_id").withColumn("at", at).where("at > 0").select("block_id", (F.col("at") - 1).alias("col"), "tags")
 
-    New blocks are ``block_id, segment``; rows without bases in a segment are left out, a block whose reference is all gaps goes.
-    """
-    places = _slots()
+
+def _with_cuts(rows: DataFrame) -> DataFrame:
+    """``cuts`` of reference rows (null elsewhere): begin and end of each stretch of columns where they have bases."""
     # a segment begins at a base after a gap or at the front
     starts = F.filter(F.transform("places", lambda p, k: F.when((k == 0) | (p != F.get("places", k - 1) + 1), p)), lambda p: p.isNotNull())
     ends = F.filter(F.transform("places", lambda p, k: F.when(F.coalesce(F.get("places", k + 1) != p + 1, F.lit(True)), p + 1)), lambda p: p.isNotNull())
-    rows = rows.withColumn("places", F.when(F.col("row_index") == 0, places))
-    rows = rows.withColumn("cuts", F.when(F.col("row_index") == 0, F.arrays_zip(starts.alias("a"), ends.alias("b")))).drop("places")
-    rows = with_reference(rows, "cuts").where(F.size("ref_cuts") > 0)  # once per block, from its reference row
+    rows = rows.withColumn("places", F.when(F.col("row_index") == 0, _slots()))
+    return rows.withColumn("cuts", F.when(F.col("row_index") == 0, F.arrays_zip(starts.alias("a"), ends.alias("b")))).drop("places")
+
+
+def unnormalised_tags(rows: DataFrame, tags: DataFrame) -> DataFrame:
+    """``block_id, segment, col, tags`` of the columns that ``unnormalise`` keeps of ``rows``; those of dropped columns go."""
+    cuts = _with_cuts(rows.where("row_index = 0")).select("block_id", "cuts")
+    segments = F.transform("cuts", lambda x, k: F.struct(k.cast("long").alias("segment"), x["a"].alias("a"), x["b"].alias("b")))
+    mine = F.get(F.filter(segments, lambda x: (x["a"] <= F.col("col")) & (F.col("col") < x["b"])), 0)
+    found = tags.join(cuts, "block_id").withColumn("mine", mine).where("mine is not null")
+    return found.select("block_id", "mine.segment", (F.col("col") - F.col("mine.a")).alias("col"), "tags")
+
+
+def unnormalise(rows: DataFrame) -> DataFrame:
+    """Split blocks where the reference has gaps and drop those columns; ``unnormalised_tags`` moves column tags along.
+
+    New blocks are ``block_id, segment``; rows without bases in a segment are left out, a block whose reference is all gaps goes.
+    """
+    rows = with_reference(_with_cuts(rows), "cuts").where(F.size("ref_cuts") > 0)  # once per block, from its reference row
     part = lambda x: F.substring("bases", x["a"] + 1, x["b"] - x["a"])
     bases_in = lambda text: F.length(F.replace(text, F.lit("-"), F.lit(""))).cast("long")
     pieces = F.transform("ref_cuts", lambda x, k: F.struct(k.cast("long").alias("segment"), part(x).alias("part"), x["a"].alias("a")))

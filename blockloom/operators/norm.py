@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockloom.functions.align import star
-from blockloom.operators.blocks import drop_all_gap_columns
+from blockloom.operators.blocks import drop_all_gap_columns, tags_without_gap_columns
 from blockloom.operators.columns import SHARD
 from blockloom.schema import ROW_COLUMNS
 
@@ -54,11 +54,12 @@ def _gap(left: dict, right: dict) -> int:
     return right["start"] - left["start"] - left["length"]
 
 
-def _without_gap_columns(rows: list[dict]) -> list[dict]:
+def _without_gap_columns(rows: list[dict], numbers: list[int]) -> tuple[list[dict], list[int]]:
+    """Rows and their columns' numbers without the columns in which every row has a gap; one stays if there are no others."""
     used = [c for c, column in enumerate(zip(*(r["bases"] for r in rows))) if any(b != "-" for b in column)] or [0]
     if rows and len(used) < len(rows[0]["bases"]):
-        rows = [r | {"bases": "".join(r["bases"][c] for c in used)} for r in rows]
-    return rows
+        rows, numbers = [r | {"bases": "".join(r["bases"][c] for c in used)} for r in rows], [numbers[c] for c in used]
+    return rows, numbers
 
 
 def prune(left: list[dict], rows: list[dict], to: list[int | None], most_gap: int) -> list[dict] | None:
@@ -103,15 +104,29 @@ def merge_pair(left: list[dict], right: list[dict], to: list[int | None]) -> lis
     return out
 
 
-def fold(blocks: list[list[dict]], policy: Policy) -> list[list[dict]]:
+@dataclass
+class Merged:
+    """A block made of others: where each of those begins in it, and the numbers of its columns that are left."""
+
+    rows: list[dict]
+    parts: list[tuple[int, int, list[int]]]  # block id, place, columns
+
+    @property
+    def block_id(self) -> int:
+        return self.parts[0][0]
+
+
+def fold(blocks: list[list[dict]], policy: Policy) -> list[Merged]:
     """Merge neighbours from left to right."""
     from blockloom.sources.taf import link
 
-    out: list[list[dict]] = []
+    out: list[Merged] = []
     for block in blocks:
-        block = _sorted(_without_gap_columns(block))
+        block_id = block[0]["block_id"]
+        block, numbers = _without_gap_columns(block, list(range(len(block[0]["bases"]))))
+        block = _sorted(block)
         if out:
-            left = out[-1]
+            left = out[-1].rows
             to = link(left, block, substitutions=False)
             shared = sum(i is not None for i in to)
             total = len(left) + len(block) - shared
@@ -122,29 +137,49 @@ def fold(blocks: list[list[dict]], policy: Policy) -> list[list[dict]]:
                     fewer = prune(left, block, to, policy.most_gap)
                     if fewer is None:
                         break
-                    block = _without_gap_columns(fewer)
+                    block, numbers = _without_gap_columns(fewer, numbers)
                     to = link(left, block, substitutions=False)
                 if widest() <= policy.most_gap:
-                    out[-1] = _sorted(merge_pair(left, block, to))
+                    rows = _sorted(merge_pair(left, block, to))
+                    begin = len(rows[0]["bases"]) - len(block[0]["bases"])
+                    out[-1] = Merged(rows, [*out[-1].parts, (block_id, begin, numbers)])
                     continue
-        out.append(block)
+        out.append(Merged(block, [(block_id, 0, numbers)]))
     return out
 
 
+def _chained(rows: DataFrame, policy: Policy) -> DataFrame:
+    """``rows`` without all-gap columns, with their ``chain``."""
+    extra = ["left_gap_sequence"] if "left_gap_sequence" in rows.columns else []
+    rows = drop_all_gap_columns(rows.select(*ROW_COLUMNS, *extra))
+    return rows.join(chains(rows, policy), "block_id")
+
+
+def _folded(pdf: pd.DataFrame, policy: Policy) -> list[Merged]:
+    pdf = pdf.sort_values(["block_id", "row_index"])
+    return fold([g.to_dict("records") for _, g in pdf.groupby("block_id", sort=True)], policy)
+
+
 def merge_blocks(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """Rows of the merged blocks; a merged block has the id of its first one.
+    """Rows of the merged blocks; a merged block has the id of its first one.  ``merged_tags`` moves column tags along.
 
     ``left_gap_sequence``, where it exists, gives the bases between a row and the one before it.
     """
-    extra = ["left_gap_sequence"] if "left_gap_sequence" in rows.columns else []
-    rows = drop_all_gap_columns(rows.select(*ROW_COLUMNS, *extra))
-    chained = rows.join(chains(rows, policy), "block_id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["block_id", "row_index"])
-        blocks = [g.to_dict("records") for _, g in pdf.groupby("block_id", sort=True)]
-        made = [r | {"block_id": b[0]["block_id"] if "block_id" in b[0] else None, "row_index": i} for b in fold(blocks, policy) for i, r in enumerate(b)]
-        out = pd.DataFrame(made)
-        return out[ROW_COLUMNS]
+        return pd.DataFrame([r | {"block_id": b.block_id, "row_index": i} for b in _folded(pdf, policy) for i, r in enumerate(b.rows)])[ROW_COLUMNS]
+
+    return _chained(rows, policy).groupBy("chain").applyInPandas(run, rows.select(*ROW_COLUMNS).schema)
+
+
+def merged_tags(rows: DataFrame, tags: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    """``block_id, col, tags`` of the blocks that ``merge_blocks`` makes of ``rows``; those of dropped columns go."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [(part, b.block_id, begin, numbers) for b in _folded(pdf, policy) for part, begin, numbers in b.parts]
+        return pd.DataFrame(parts, columns=["block_id", "into", "begin", "numbers"])
 
-    return chained.groupBy("chain").applyInPandas(run, rows.select(*ROW_COLUMNS).schema)
+    placed = _chained(rows, policy).groupBy("chain").applyInPandas(run, "block_id bigint, into bigint, begin bigint, numbers array<int>")
+    at = F.array_position("numbers", F.col("col").cast("int"))
+    found = tags_without_gap_columns(rows, tags).join(placed, "block_id").withColumn("at", at).where("at > 0")
+    return found.select(F.col("into").alias("block_id"), (F.col("begin") + F.col("at") - 1).alias("col"), "tags")

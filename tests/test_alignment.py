@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from blockloom.functions import align, scalars
 from blockloom.operators import annotate, blocks, columns, coverage, dataset, links, masks, norm, paf, plotstats, regions, rows, stats
-from blockloom.sources import lists, maf, newick, taf, wiggle
+from blockloom.sources import lists, maf, newick, reader, taf, wiggle
 from blockloom.streaming import stats as streaming
 
 COVERAGE = """##maf version=1 scoring=N/A
@@ -111,6 +111,43 @@ def test_prune_drops_far_copies(spark):
     assert [(x[2], x[6]) for x in out] == [("a.1", "ACGT"), ("b.1", "ACGT"), ("b.2", "AC--")]
 
 
+def tagged(spark, *places):
+    """A tag with the column's number at each of these (block, column)."""
+    return spark.createDataFrame([(b, c, [("was", str(c))]) for b, c in places], "block_id bigint, col bigint, tags array<struct<key: string, value: string>>")
+
+
+def moved(tags, *keys):
+    return sorted((*(r[k] for k in keys), r["col"], r["tags"][0]["value"]) for r in tags.collect())
+
+
+def test_tags_follow_their_columns(spark):
+    aln = frame(spark, (0, 0, "r.1", 0, 4, True, 100, "A-C-GT"), (0, 1, "s.1", 0, 5, True, 100, "A-CTGT"), (1, 0, "r.1", 9, 0, True, 100, "--"), (1, 1, "s.1", 9, 0, True, 100, "--"))
+    tags = tagged(spark, *[(0, c) for c in range(6)], (1, 0), (1, 1))
+    assert moved(blocks.tags_without_gap_columns(aln, tags), "block_id") == [(0, 0, "0"), (0, 1, "2"), (0, 2, "3"), (0, 3, "4"), (0, 4, "5"), (1, 0, "0")]
+    assert moved(blocks.unnormalised_tags(aln, tags), "block_id", "segment") == [(0, 0, 0, "0"), (0, 1, 0, "2"), (0, 2, 0, "4"), (0, 2, 1, "5")]
+    assert moved(blocks.unnormalised_tags(aln, tags.limit(0)), "block_id", "segment") == []
+
+
+def test_tags_follow_merged_blocks(spark):
+    aln = frame(
+        spark, (0, 0, "a.1", 0, 2, True, 900, "A-C"), (0, 1, "b.1", 0, 2, True, 900, "A-C"), (0, 2, "b.2", 0, 2, True, 900, "A-C"),
+        (1, 0, "a.1", 4, 2, True, 900, "G-T"), (1, 1, "b.1", 2, 2, True, 900, "G-T"), (1, 2, "b.2", 500, 1, True, 900, "-A-"),
+    )
+    tags = tagged(spark, *[(b, c) for b in (0, 1) for c in range(3)])
+    apart = moved(norm.merged_tags(aln, tags), "block_id")
+    assert apart == [(0, 0, "0"), (0, 1, "2"), (1, 0, "0"), (1, 1, "1"), (1, 2, "2")]
+    # the far copy goes, and with it the column that it alone fills; two bases stand between the blocks
+    policy = norm.Policy(prune=True)
+    assert [x[6] for x in plain(norm.merge_blocks(aln, policy))] == ["ACNNGT", "AC--GT", "AC----"]
+    assert moved(norm.merged_tags(aln, tags, policy), "block_id") == [(0, 0, "0"), (0, 1, "2"), (0, 4, "0"), (0, 5, "2")]
+
+
+def test_merged_block_that_begins_with_a_new_row(spark):
+    aln = frame(spark, (0, 0, "a.1", 0, 2, True, 50, "AC"), (1, 0, "z.1", 7, 2, True, 50, "GT"), (1, 1, "a.1", 2, 2, True, 50, "GT"))
+    out = norm.merge_blocks(aln).collect()
+    assert {r.block_id for r in out} == {0} and {(r.sequence_name, r.bases) for r in out} == {("a.1", "ACGT"), ("z.1", "--GT")}
+
+
 def test_unnormalise(spark):
     aln = frame(spark, (0, 0, "r.1", 0, 4, True, 100, "AC--GT"), (0, 1, "s.1", 0, 6, True, 100, "ACTTGT"), (0, 2, "t.1", 0, 3, True, 100, "-C--GT"), (1, 0, "r.1", 9, 0, True, 100, "--"), (1, 1, "s.1", 9, 2, True, 100, "AC"))
     out = sorted((r.segment, r.row_index, r.sequence_name, r.start, r.bases) for r in blocks.unnormalise(aln).collect())
@@ -201,6 +238,23 @@ def test_text_round_trips(spark, tmp_path):
     assert maf.header(spark, str(tmp_path / "in.maf"))["scoring"] == "N/A"
 
 
+def test_reader_of_both_formats(spark, tmp_path):
+    aln = read(spark, tmp_path, COVERAGE)
+    paths = [str(tmp_path / "both.maf"), str(tmp_path / "both.taf")]
+    maf.write(aln, paths[0])
+    taf.write(aln, paths[1])
+    strip = lambda df, *more: sorted(tuple(r[c] for c in ("sequence_name", "start", "length", "strand", "bases", *more)) for r in df.collect())
+    for path in paths:
+        assert strip(reader.read(spark, path)) == strip(aln)
+        assert strip(reader.read(spark, path, region="dog.chr1:6-8")) == strip(regions.clip(aln, *regions.parse_region("dog.chr1:6-8")))
+        whole = reader.read(spark, path, region="dog.chr1", links=True)
+        assert {r.sequence_name for r in whole.where("l_row_index = 0").collect()} == {"dog.chr1"}
+    assert reader.header(spark, paths[0])["version"] == "1"
+    (tmp_path / "other.txt").write_text("neither\n")
+    with pytest.raises(ValueError):
+        reader.read(spark, str(tmp_path / "other.txt"))
+
+
 def test_tags_survive_text(spark, tmp_path):
     aln = read(spark, tmp_path, COVERAGE)
     first = aln.agg(F.min("block_id")).first()[0]
