@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from blockloom.llm import bpe, fingerprint, jaccard_join, language_model, line_dedup, packing, quality_classifier, quality_rules, sql, toxicity, warc_fixity
+from blockloom.llm import bpe, fingerprint, grace_dedup, hard_negatives, jaccard_join, language_model, line_dedup, packing, quality_classifier, quality_rules, sql, toxicity, vector_codes, warc_fixity
 from blockloom.llm.common import table
 
 
@@ -52,9 +52,22 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grace_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_fixity, op2_toxicity, op3_packing, op4_byte_bpe, op5_quality_classifier, op6_line_dedup, op7_jaccard_join, op8_quality_rules, op9_fingerprints, op10_language_model)}
+    made = (op1_warc_fixity, op2_toxicity, op3_packing, op4_byte_bpe, op5_quality_classifier, op6_line_dedup, op7_jaccard_join, op8_quality_rules, op9_fingerprints, op10_language_model)
+    return {f.__name__: f for f in (*made, op11_exact_dedup, op12_hard_negatives, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_fixity": sql.WARC_FIXITY, "op8_quality_rules": sql.QUALITY_RULES}
+    return {"op1_warc_fixity": sql.WARC_FIXITY, "op8_quality_rules": sql.QUALITY_RULES, "op11_exact_dedup": sql.EXACT_DEDUP, "op12_hard_negatives": sql.HARD_NEGATIVES, "op13_vector_codes": sql.VECTOR_CODES}

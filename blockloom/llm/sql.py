@@ -70,3 +70,59 @@ select page_id, cast(floor(page_id / 4096.0) as bigint) as file_id, coalesce("of
        case when digest is null then 'extra' when replica_digest is null then 'missing' when digest <> replica_digest then 'corrupt' else 'ok' end as status
 from j left join g on g.range_id = cast(floor(page_id / 16.0) as bigint)
 """
+
+EXACT_DEDUP = r"""
+with d as (
+    select doc_id, length(coalesce(text, '')) as n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as t from documents)
+select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition by t) as group_size, row_number() over w = 1 as kept, sha256(t) as text_sha256
+from d window w as (partition by t order by n desc, doc_id nulls last)
+"""
+
+#: Components as whole numbers of the rows whose vectors count.
+_WHOLE = """whole as (
+    select row_number() over () as id, vec_id, label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)"""
+
+HARD_NEGATIVES = f"""
+with {_WHOLE},
+r as (select id, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, v from whole where label is not null),
+s as (
+    select a.id as anchor, a.vec_id as anchor_id, a.label = b.label as alike, b.vec_id, cast(list_inner_product(a.v, b.v) as bigint) as score
+    from r a, r b where a.vec_id % 50 = 0 and a.id <> b.id),
+p as (
+    select anchor, anchor_id, vec_id as positive_id, score as positive_score, row_number() over (partition by anchor order by score desc, vec_id nulls last) as place
+    from s where alike qualify place <= 5)
+select p.anchor_id, positive_id, cast(row_number() over (partition by p.anchor, place order by score desc, vec_id nulls last) as int) as rank, vec_id as negative_id, positive_score, score as negative_score
+from p join s on p.anchor = s.anchor where not alike and 100 * score between 50 * positive_score and 95 * positive_score
+qualify rank <= 3
+"""
+
+
+def _vector_codes() -> str:
+    near = """near{k} as (
+    select x.id, x.part, any_value(x.p) as p, min((cast(list_inner_product(x.p, x.p) - 2 * list_inner_product(x.p, e.p) + list_inner_product(e.p, e.p) as bigint), e.entry)) as best
+    from x join e{k} e on x.part = e.part group by x.id, x.part)"""
+    step = """e{j} as (
+    select e.part, e.entry, coalesce(m.p, e.p) as p from e{k} e left join (
+        select part, entry, list(mean order by place) as p from (
+            select part, best[2] as entry, place, floor(cast(sum(p[place]) as double) / count(*)) as mean from near{k}, range(1, {cut} + 1) as c(place) group by part, best[2], place)
+        group by part, entry) m on e.part = m.part and e.entry = m.entry)"""
+    cut = "(select ceil(max(len(v)) / 16)::bigint from whole)"
+    return f"""
+with {_WHOLE},
+x as (select id, cast(part as bigint) as part, v[cast(part * {cut} + 1 as bigint) : cast((part + 1) * {cut} as bigint)] as p from whole, range(16) as n(part)),
+first64 as (select id, row_number() over (order by vec_id nulls last, v) - 1 as entry from whole qualify entry < 64),
+e0 as (select part, entry, p from x join first64 using (id)),
+{near.format(k=0)},
+{step.format(k=0, j=1, cut=cut)},
+{near.format(k=1)},
+{step.format(k=1, j=2, cut=cut)},
+{near.format(k=2)},
+books as (select sha256(string_agg(array_to_string(list_transform(p, lambda c: cast(cast(c as bigint) as varchar)), ','), ',' order by part, entry)) as h from e2),
+done as (select id, string_agg(lower(printf('%02x', cast(best[2] as int))), '' order by part) as code, cast(sum(best[1]) as bigint) as error from near2 group by id)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, (select h from books) as codebooks_sha256
+from done join whole using (id)
+"""
+
+
+VECTOR_CODES = _vector_codes()
