@@ -1,23 +1,36 @@
-"""Merging of adjacent blocks.
+"""Merging of adjacent blocks by a speculative parallel fold.
 
-Merging is an ordered fold, so it runs in Python over chains of blocks.  Two
-neighbours that are both longer than the policy's limit never merge, and merging
-only makes the left one longer; cutting there is exact, and chains run in
-parallel.
+Merging is an ordered fold: a block either joins the open one or closes it and opens itself.  What the fold does from
+a block on that it opens depends on nothing before it.  So shards of consecutive blocks are folded at the same time, each as if its first block
+opened; then the start of each shard is folded again from the block that its predecessor leaves open, until both runs open the same block.
+From there on the first run was right.  A shard in which the runs never meet leaves another block open than was thought, and its successor starts again;
+this ends, because each round settles at least the first shard that isn't.
+
+The fold works on names, coordinates and widths.  It says where the bases of each row go, and Spark puts them there, so no task
+holds the bases of a block (with pruning, which looks at columns, of one block at a time).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockloom.functions.align import star
+from blockloom.functions.align import star, wavefront
 from blockloom.operators.blocks import drop_all_gap_columns, tags_without_gap_columns
-from blockloom.operators.columns import SHARD
 from blockloom.schema import ROW_COLUMNS
+from blockloom.session import bounded_broadcast, keep
+
+#: Blocks ids of a shard.
+SHARD = 2_000
+LEAST = -(1 << 63)
+PIECE, CHAIN, END = 0, 1, 2  # kinds of records
 
 
 @dataclass(frozen=True)
@@ -31,155 +44,331 @@ class Policy:
     prune: bool = False
 
 
-def chains(rows: DataFrame, policy: Policy) -> DataFrame:
-    """``block_id, chain``; with pruning a block can get shorter, so everything is one chain then."""
-    widths = rows.where("row_index = 0").select("block_id", F.length("bases").alias("w"))
-    if policy.prune:
-        return widths.select("block_id", F.lit(0).cast("long").alias("chain"))
-    widths = widths.withColumn("shard", F.expr(f"block_id div {SHARD}"))
-    along = Window.orderBy("shard")  # one record per shard
-    before = widths.groupBy("shard").agg(F.max_by("w", "block_id").alias("last")).select("shard", F.lag("last").over(along).alias("before"))
-    inside = Window.partitionBy("shard").orderBy("block_id")
-    cut = widths.join(before, "shard").withColumn("p", F.coalesce(F.lag("w").over(inside), F.col("before"))).withColumn("cut", F.coalesce((F.col("p") > policy.most_block) & (F.col("w") > policy.most_block), F.lit(False)).cast("long"))
-    totals = cut.groupBy("shard").agg(F.sum("cut").alias("n")).select("shard", (F.sum("n").over(along) - F.col("n")).alias("offset"))
-    return cut.join(totals, "shard").select("block_id", (F.sum("cut").over(inside) + F.col("offset")).alias("chain"))
+@dataclass
+class Row:
+    """A row of a block, or of the open block (``chain``: the row that it began with)."""
+
+    name: str
+    start: int
+    length: int
+    strand: bool
+    size: int
+    chain: tuple[int, int]
+    gap_bases: str | None = None
+    bases: str | None = None
+
+    @property
+    def key(self) -> tuple:
+        return self.name, not self.strand, self.start
 
 
-def _sorted(rows: list[dict]) -> list[dict]:
+def in_order(rows: list[Row]) -> list[Row]:
     """Rows by name, strand (+ first) and start, the first one pinned."""
-    return rows[:1] + sorted(rows[1:], key=lambda r: (r["sequence_name"], not r["strand"], r["start"]))
+    return rows[:1] + sorted(rows[1:], key=lambda r: r.key)
 
 
-def _gap(left: dict, right: dict) -> int:
-    return right["start"] - left["start"] - left["length"]
+def follows(left: Row, right: Row) -> bool:
+    return left.strand == right.strand and left.start + left.length <= right.start and left.name == right.name
 
 
-def _without_gap_columns(rows: list[dict], numbers: list[int]) -> tuple[list[dict], list[int]]:
-    """Rows and their columns' numbers without the columns in which every row has a gap; one stays if there are no others."""
-    used = [c for c, column in enumerate(zip(*(r["bases"] for r in rows))) if any(b != "-" for b in column)] or [0]
-    if rows and len(used) < len(rows[0]["bases"]):
-        rows, numbers = [r | {"bases": "".join(r["bases"][c] for c in used)} for r in rows], [numbers[c] for c in used]
-    return rows, numbers
+def gap(left: Row, right: Row) -> int:
+    return right.start - left.start - left.length
 
 
-def prune(left: list[dict], rows: list[dict], to: list[int | None], most_gap: int) -> list[dict] | None:
+def links(left: list[Row], right: list[Row]) -> list[int | None]:
+    """For each right row the left row that it continues, by an ordered alignment without substitutions.
+
+    Rows that nothing can pair with cost the same in any alignment, so they are left out.
+    """
+    if len(left) == len(right) and all(map(follows, left, right)):
+        return [*range(len(right))]
+    by: dict[str, list[int]] = {}
+    for i, l in enumerate(left):
+        by.setdefault(l.name, []).append(i)
+    pairs = {(i, j) for j, r in enumerate(right) for i in by.get(r.name, ()) if follows(left[i], r)}
+    a, b = sorted({i for i, _ in pairs}), sorted({j for _, j in pairs})
+    to: list[int | None] = [None] * len(right)
+    if len(a) == len(b) and all((i, j) in pairs for i, j in zip(a, b)):
+        made = zip(a, b)
+    else:
+        made = ((a[i], b[j]) for i, j in wavefront(a, b, lambda i, j: (i, j) in pairs, 1, 10**8) if i is not None and j is not None)
+    for i, j in made:
+        to[j] = i
+    return to
+
+
+def pruned(left: list[Row], rows: list[Row], to: list[int | None], most_gap: int) -> list[Row] | None:
     """Without the rows whose gap is too wide, if each is a copy (not the first row) of a genome that keeps another; else None."""
-    genome = [r["sequence_name"].split(".", 1)[0] for r in rows]
-    wide = [i is not None and _gap(left[i], r) > most_gap for r, i in zip(rows, to)]
+    genome = [r.name.split(".", 1)[0] for r in rows]
+    wide = [i is not None and gap(left[i], r) > most_gap for r, i in zip(rows, to)]
     passing = {g for g, w in zip(genome, wide) if not w}
     drop = [k for k, w in enumerate(wide) if w]
     if not drop or any(k == 0 or genome.count(genome[k]) < 2 or genome[k] not in passing for k in drop):
         return None
-    return [r for k, r in enumerate(rows) if k not in set(drop)]
-
-
-def merge_pair(left: list[dict], right: list[dict], to: list[int | None]) -> list[dict]:
-    """One block of both: rows of the right block that continue nothing join at the place where they stood, the bases between are aligned by a star."""
-    width = len(left[0]["bases"])
-    order: list[tuple[dict, dict | None]] = [(r, None) for r in left]
-    place = {i: i for i in range(len(left))}  # where a left row stands in ``order``
-    at = 0
-    for r, i in zip(right, to):
-        if i is None:
-            new = {k: r[k] for k in ("sequence_name", "start", "strand", "sequence_length")} | {"length": 0, "bases": "-" * width}
-            order.insert(at, (new, r))
-            place = {k: p + (p >= at) for k, p in place.items()}
-            at += 1
-        else:
-            order[place[i]] = (left[i], r)
-            at = place[i] + 1
-    between = []
-    for l, r in order:
-        n = _gap(l, r) if r is not None else 0
-        given = r.get("left_gap_sequence") if r is not None else None
-        between.append((given if isinstance(given, str) and len(given) == n else "N" * n).upper())
-    aligned = star([b for b in between if b])
-    wide = len(aligned[0]) if aligned else 0
-    rest = iter(aligned)
-    out = []
-    for (l, r), b in zip(order, between):
-        middle = next(rest) if b else "-" * wide
-        tail = r["bases"] if r is not None else "-" * len(right[0]["bases"])
-        out.append(l | {"bases": l["bases"] + middle + tail, "length": l["length"] + (len(b) + r["length"] if r is not None else 0)})
-    return out
+    return [r for k, r in enumerate(rows) if not wide[k]]
 
 
-@dataclass
-class Merged:
-    """A block made of others: where each of those begins in it, and the numbers of its columns that are left."""
+def without_gap_columns(rows: list[Row], numbers: list[int]) -> list[int]:
+    """Cut the rows to the columns in which one of them has a base (one stays if there are none), and say which of ``numbers`` those are."""
+    used = [c for c, column in enumerate(zip(*(r.bases for r in rows))) if any(b != "-" for b in column)] or [0]
+    if len(used) < len(numbers):
+        for r in rows:
+            r.bases = "".join(r.bases[c] for c in used)
+        numbers = [numbers[c] for c in used]
+    return numbers
 
-    rows: list[dict]
-    parts: list[tuple[int, int, list[int]]]  # block id, place, columns
 
-    @property
-    def block_id(self) -> int:
-        return self.parts[0][0]
-
-
-def fold(blocks: list[list[dict]], policy: Policy) -> list[Merged]:
-    """Merge neighbours from left to right."""
-    from blockloom.sources.taf import link
-
-    out: list[Merged] = []
-    for block in blocks:
-        block_id = block[0]["block_id"]
-        block, numbers = _without_gap_columns(block, list(range(len(block[0]["bases"]))))
-        block = _sorted(block)
-        if out:
-            left = out[-1].rows
-            to = link(left, block, substitutions=False)
-            shared = sum(i is not None for i in to)
-            total = len(left) + len(block) - shared
-            short = min(len(left[0]["bases"]), len(block[0]["bases"])) <= policy.most_block
-            if shared >= policy.least_shared and shared >= total * policy.least_fraction and short:
-                widest = lambda: max([_gap(left[i], r) for r, i in zip(block, to) if i is not None], default=0)
-                while policy.prune and widest() > policy.most_gap:
-                    fewer = prune(left, block, to, policy.most_gap)
-                    if fewer is None:
-                        break
-                    block, numbers = _without_gap_columns(fewer, numbers)
-                    to = link(left, block, substitutions=False)
-                if widest() <= policy.most_gap:
-                    rows = _sorted(merge_pair(left, block, to))
-                    begin = len(rows[0]["bases"]) - len(block[0]["bases"])
-                    out[-1] = Merged(rows, [*out[-1].parts, (block_id, begin, numbers)])
-                    continue
-        out.append(Merged(block, [(block_id, 0, numbers)]))
-    return out
-
-
-def _chained(rows: DataFrame, policy: Policy) -> DataFrame:
-    """``rows`` without all-gap columns, with their ``chain``."""
-    extra = ["left_gap_sequence"] if "left_gap_sequence" in rows.columns else []
-    rows = drop_all_gap_columns(rows.select(*ROW_COLUMNS, *extra))
-    return rows.join(chains(rows, policy), "block_id")
+@lru_cache(maxsize=1 << 12)
+def _star(strings: tuple[str, ...]) -> list[str]:
+    return star([*strings])
 
 
-def _folded(pdf: pd.DataFrame, policy: Policy) -> list[Merged]:
-    pdf = pdf.sort_values(["block_id", "row_index"])
-    return fold([g.to_dict("records") for _, g in pdf.groupby("block_id", sort=True)], policy)
-
-
-def merge_blocks(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """Rows of the merged blocks; a merged block has the id of its first one.  ``merged_tags`` moves column tags along.
-
-    ``left_gap_sequence``, where it exists, gives the bases between a row and the one before it.
+@dataclass
+class Fold:
+    """The fold's state and what it has said: ``pieces`` place rows, ``chains`` describe the rows of closed blocks."""
+
+    policy: Policy
+    block: int | None = None  # the first block of the open one
+    rows: list[Row] = field(default_factory=list)
+    width: int = 0
+    pieces: list[tuple] = field(default_factory=list)
+    chains: list[tuple] = field(default_factory=list)
+
+    def state(self) -> str:
+        return json.dumps([self.block, self.width, [[r.name, r.start, r.length, r.strand, r.size, *r.chain] for r in self.rows]])
+
+    def resume(self, state: str) -> None:
+        self.block, self.width, rows = json.loads(state)
+        self.rows = [Row(*r[:5], (r[5], r[6])) for r in rows]
+
+    def take(self, block: int, rows: list[Row], width: int) -> list[int] | None:
+        """Fold the next block in; the rows that it opens with if it does, else None."""
+        rows, numbers = in_order(rows), None
+        if self.block is not None:
+            merged, rows, width, numbers = self._merged(block, rows, width)
+            if merged:
+                return None
+            self.close()
+        self.block, self.width = block, width
+        self.rows = [Row(r.name, r.start, r.length, r.strand, r.size, r.chain) for r in rows]
+        self.pieces += [(*r.chain, block, *r.chain, 0, None, numbers) for r in rows]
+        return [r.chain[1] for r in rows]
+
+    def close(self) -> None:
+        self.chains += [(k, self.block, *r.chain, r.name, r.start, r.length, r.strand, r.size, self.width) for k, r in enumerate(self.rows)]
+        self.block, self.rows = None, []
+
+    def _merged(self, block: int, rows: list[Row], width: int) -> tuple[bool, list[Row], int, list[int] | None]:
+        p, left, numbers = self.policy, self.rows, None
+        to = links(left, rows)
+        shared = sum(i is not None for i in to)
+        if shared < p.least_shared or shared < (len(left) + len(rows) - shared) * p.least_fraction or min(self.width, width) > p.most_block:
+            return False, rows, width, None
+        widest = lambda: max((gap(left[i], r) for r, i in zip(rows, to) if i is not None), default=0)
+        while p.prune and widest() > p.most_gap:
+            fewer = pruned(left, rows, to, p.most_gap)
+            if fewer is None:
+                break
+            rows, numbers = fewer, without_gap_columns(fewer, [*range(width)] if numbers is None else numbers)
+            width, to = len(numbers), links(left, fewer)
+        if widest() > p.most_gap:
+            return False, rows, width, numbers
+        order: list[tuple[Row, Row | None]] = [(l, None) for l in left]
+        place, at = [*range(len(left))], 0  # where a left row stands in ``order``
+        for r, i in zip(rows, to):
+            if i is None:
+                order.insert(at, (Row(r.name, r.start, 0, r.strand, r.size, r.chain), r))
+                place = [x + (x >= at) for x in place]
+                at += 1
+            else:
+                order[place[i]] = (left[i], r)
+                at = place[i] + 1
+        between = []
+        for l, r in order:
+            n = gap(l, r) if r is not None else 0
+            given = r.gap_bases if r is not None else None
+            between.append((given if isinstance(given, str) and len(given) == n else "N" * n).upper())
+        some = tuple(b for b in between if b)
+        aligned = iter(_star(some) if some else ())
+        middles = [next(aligned) if b else None for b in between]
+        begin = self.width + max((len(m) for m in middles if m), default=0)
+        for (l, r), b, middle in zip(order, between, middles):
+            if r is not None:
+                self.pieces.append((*r.chain, self.block, *l.chain, begin, middle, numbers))
+                l.length += len(b) + r.length
+        self.rows, self.width = in_order([l for l, _ in order]), begin + width
+        return True, rows, width, numbers
+
+
+RECORD = "shard bigint, kind int, block_id bigint, row_index bigint, into bigint, chain_block bigint, chain_row bigint, begin bigint, middle string, numbers array<int>, sequence_name string, start bigint, length bigint, strand boolean, sequence_length bigint, width bigint, state string, came string, opens string"
+_I, _S = pa.int64(), pa.string()
+_SCHEMA = pa.schema(
+    [("shard", _I), ("kind", pa.int32()), ("block_id", _I), ("row_index", _I), ("into", _I), ("chain_block", _I), ("chain_row", _I), ("begin", _I), ("middle", _S), ("numbers", pa.list_(pa.int32()))]
+    + [("sequence_name", _S), ("start", _I), ("length", _I), ("strand", pa.bool_()), ("sequence_length", _I), ("width", _I), ("state", _S), ("came", _S), ("opens", _S)]
+)
+
+
+def _said(shard: int, fold: Fold) -> Iterator[tuple]:
+    for block, row, into, chain_block, chain_row, begin, middle, numbers in fold.pieces:
+        yield shard, PIECE, block, row, into, chain_block, chain_row, begin, middle, numbers, *[None] * 9
+    for rank, into, chain_block, chain_row, *place, width in fold.chains:
+        yield shard, CHAIN, None, rank, into, chain_block, chain_row, None, None, None, *place, width, None, None, None
+    fold.pieces, fold.chains = [], []
+
+
+def _run(policy: Policy):
+    """Fold the sorted rows of shards.
+
+    A shard's first record may hold the ``state`` that it starts from, the blocks that the first run ``opens`` and the state in which that run ends (``came``).
+    The last record of a shard holds the state at its end, the state that it came from, and the blocks that it opened; ``block_id`` is where it met the first run.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([r | {"block_id": b.block_id, "row_index": i} for b in _folded(pdf, policy) for i, r in enumerate(b.rows)])[ROW_COLUMNS]
-
-    return _chained(rows, policy).groupBy("chain").applyInPandas(run, rows.select(*ROW_COLUMNS).schema)
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 10_000):
+                yield from batch.slice(k, 10_000).to_pylist()
+
+    def folded(shard: int, rows: Iterator[dict]) -> Iterator[tuple]:
+        fold, opened, came, known, met, final = Fold(policy), {}, None, {}, None, None
+        for block, group in groupby(rows, lambda r: r["block_id"]):
+            if block is None:
+                first = next(group)
+                came, known, final = first["state"], json.loads(first["opens"]), first["came"]
+                fold.resume(came)
+                continue
+            if met is not None:
+                continue  # the first run has said the rest
+            group = [*group]
+            made = [Row(r["sequence_name"], r["start"], r["length"], r["strand"], r["sequence_length"], (block, r["row_index"]), r["left_gap_sequence"], r["bases"]) for r in group]
+            with_ = fold.take(block, made, group[0]["width"])
+            if with_ is not None:
+                opened[str(block)] = with_
+                if known.get(str(block)) == with_:
+                    met = block
+                    fold.pieces = [p for p in fold.pieces if p[2] != block]
+            if len(fold.pieces) > 10_000:
+                yield from _said(shard, fold)
+        yield from _said(shard, fold)
+        yield shard, END, met, *[None] * 13, fold.state() if met is None else final, came, json.dumps(opened)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for shard, rows in groupby(records(batches), lambda r: r["shard"]):
+            for record in folded(shard, rows):
+                held.append(record)
+                if len(held) >= 10_000:
+                    yield _batch(held)
+                    held = []
+        if held:
+            yield _batch(held)
+
+    return run
+
+
+def _batch(records: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*records), _SCHEMA)], schema=_SCHEMA)
+
+
+def _closing(policy: Policy):
+    """Close the block that the last shard leaves open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, state in zip(batch.column("shard").to_pylist(), batch.column("state").to_pylist()):
+                fold = Fold(policy)
+                fold.resume(state)
+                fold.close()
+                yield _batch([*_said(shard, fold)])
+
+    return run
+
+
+#: Records of shards that are broadcast at most, counted first.
+MOST_SHARDS = 200_000
 
 
-def merged_tags(rows: DataFrame, tags: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """``block_id, col, tags`` of the blocks that ``merge_blocks`` makes of ``rows``; those of dropped columns go."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [(part, b.block_id, begin, numbers) for b in _folded(pdf, policy) for part, begin, numbers in b.parts]
-        return pd.DataFrame(parts, columns=["block_id", "into", "begin", "numbers"])
-
-    placed = _chained(rows, policy).groupBy("chain").applyInPandas(run, "block_id bigint, into bigint, begin bigint, numbers array<int>")
-    at = F.array_position("numbers", F.col("col").cast("int"))
-    found = tags_without_gap_columns(rows, tags).join(placed, "block_id").withColumn("at", at).where("at > 0")
-    return found.select(F.col("into").alias("block_id"), (F.col("begin") + F.col("at") - 1).alias("col"), "tags")
+@dataclass
+class Merging:
+    """A finished fold: ``rows()`` of the merged blocks, ``tags()`` moved along."""
+
+    base: DataFrame
+    said: DataFrame
+    given: DataFrame
+
+    def _pieces(self) -> DataFrame:
+        return self.said.where(F.col("kind") == PIECE)
+
+    def rows(self) -> DataFrame:
+        """Rows of the merged blocks; a merged block has the id of its first one."""
+        pieces = self._pieces().select("block_id", "row_index", "into", "chain_block", "chain_row", "begin", "middle", "numbers")
+        own = F.when(F.col("numbers").isNull(), F.col("bases")).otherwise(F.array_join(F.transform("numbers", lambda c: F.substring(F.col("bases"), c + 1, F.lit(1))), ""))
+        text = F.concat(F.coalesce("middle", F.lit("")), own)
+        placed = pieces.join(self.base.select("block_id", "row_index", "bases"), ["block_id", "row_index"]).select("into", "chain_block", "chain_row", (F.col("begin") - F.coalesce(F.length("middle"), F.lit(0))).alias("at"), text.alias("text"))
+        parts = placed.groupBy("into", "chain_block", "chain_row").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("parts"))
+        end = lambda x: x["at"] + F.length(x["text"])
+        filled = F.transform("parts", lambda x, k: F.concat(F.repeat(F.lit("-"), (x["at"] - F.when(k > 0, end(F.get("parts", k - 1))).otherwise(0)).cast("int")), x["text"]))
+        chains = self.said.where(F.col("kind") == CHAIN).select("into", "chain_block", "chain_row", "row_index", "sequence_name", "start", "length", "strand", "sequence_length", F.col("width").cast("int").alias("width"))
+        joined = parts.withColumn("bases", F.array_join(filled, "")).drop("parts").join(chains, ["into", "chain_block", "chain_row"])
+        tail = F.repeat(F.lit("-"), F.col("width") - F.length("bases"))
+        return joined.withColumn("bases", F.concat("bases", tail)).withColumnRenamed("into", "block_id").select(*ROW_COLUMNS)
+
+    def tags(self, tags: DataFrame) -> DataFrame:
+        """``block_id, col, tags`` of the merged blocks from those of the original ones; those of dropped columns go."""
+        placed = self._pieces().groupBy("block_id").agg(F.first("into").alias("into"), F.first("begin").alias("begin"), F.first("numbers").alias("numbers"))
+        col = F.col("col").cast("int")
+        at = F.when(F.col("numbers").isNull(), col).otherwise(F.array_position("numbers", col).cast("int") - 1)
+        found = tags_without_gap_columns(self.given, tags).join(placed, "block_id").withColumn("at", at).where("at >= 0")
+        return found.select(F.col("into").alias("block_id"), (F.col("begin") + F.col("at")).alias("col"), "tags")
+
+
+def merging(rows: DataFrame, policy: Policy = Policy(), shard: int = SHARD) -> Merging:
+    """Fold ``rows``; ``left_gap_sequence``, where it exists, gives the bases between a row and the one before it."""
+    extra = ["left_gap_sequence"] if "left_gap_sequence" in rows.columns else []
+    given = rows.select(*ROW_COLUMNS, *extra)
+    base = keep(drop_all_gap_columns(given), "merge-base")
+    none = F.lit(None).cast("string")
+    light = base.select(
+        F.expr(f"floor(block_id / {shard})").cast("long").alias("shard"), "block_id", "row_index", "sequence_name", "start", "length", "strand", "sequence_length", F.length("bases").alias("width"),
+        *(extra or [none.alias("left_gap_sequence")]), (F.col("bases") if policy.prune else none).alias("bases"), none.alias("state"), none.alias("came"), none.alias("opens"),
+    )
+    deal = lambda df: df.repartition("shard").sortWithinPartitions("shard", "block_id", "row_index").mapInArrow(_run(policy), RECORD)
+    rounds = [keep(deal(light), "merge-round")]
+    ends = lambda k: rounds[k].where(F.col("kind") == END).select("shard", "block_id", "state", "came", "opens", F.lit(k).alias("round"))
+    first = ends(0)
+    latest = first
+    along = Window.orderBy("shard")  # one record per shard, numbers only
+    while True:
+        marks = latest.select("shard", F.xxhash64("state").alias("leaves"), F.when(F.col("came").isNotNull(), F.xxhash64("came")).alias("from"))
+        before = marks.select("shard", "from", F.lag("shard").over(along).alias("before"), F.lag("leaves").over(along).alias("leaves"))
+        stale = keep(before.where("before is not null and (from is null or from <> leaves)").select("shard", "before"), "merge-stale")
+        n = stale.count()
+        if not n:
+            break
+        small = F.broadcast if n <= MOST_SHARDS else lambda df: df
+        state = small(stale).join(latest.select(F.col("shard").alias("before"), F.col("state")), "before").join(first.select("shard", F.col("state").alias("came"), "opens"), "shard")
+        again = light.join(small(stale.select("shard")), "shard", "left_semi")
+        rounds.append(keep(deal(again.unionByName(state.select("shard", "state", "came", "opens"), allowMissingColumns=True)), "merge-round"))
+        new = ends(len(rounds) - 1)
+        latest = new.unionByName(latest.join(small(stale.select("shard")), "shard", "left_anti"))
+        if len(rounds) % 8 == 0:
+            latest = keep(latest, "merge-ends")
+    told = bounded_broadcast(latest.select("shard", F.col("block_id").alias("met"), "round"), MOST_SHARDS)
+    parts = [r.where(F.col("kind") < END).join(told.where(F.col("round") == k) if k else told, "shard") for k, r in enumerate(rounds)]
+    # the first run counts from where a later one met it
+    parts[0] = parts[0].where((F.col("round") == 0) | (F.coalesce("into", F.lit(LEAST)) >= F.col("met")))
+    last = latest.orderBy(F.desc("shard")).limit(1).select("shard", "state").mapInArrow(_closing(policy), RECORD)
+    columns = last.columns
+    said = last
+    for p in parts:
+        said = said.unionByName(p.select(*columns))
+    return Merging(base, keep(said, "merge-said"), given)
+
+
+def merge_blocks(rows: DataFrame, policy: Policy = Policy(), shard: int = SHARD) -> DataFrame:
+    """Rows of the merged blocks; see ``merging``."""
+    return merging(rows, policy, shard).rows()
+
+
+def merged_tags(rows: DataFrame, tags: DataFrame, policy: Policy = Policy(), shard: int = SHARD) -> DataFrame:
+    """``block_id, col, tags`` of the blocks that ``merge_blocks`` makes of ``rows``; ``merging`` gives both in one pass."""
+    return merging(rows, policy, shard).tags(tags)
