@@ -37,7 +37,7 @@ from blockloom.session import keep, releasing
 
 HEAD, TAIL, STATES, ROUNDS, TOLERANCE = 50_000, 64, 6, 14, 1e-2
 END = b""  # no word is empty, so the empty string stands for the end
-FLUSH, CHUNK, SCALED, SALTS = 200_000, 4096, 16, 16
+FLUSH, CHUNK, SCALED, SALTS = 200_000, 4096, 8, 16
 
 
 def tokens(text: str) -> list[bytes]:
@@ -102,10 +102,14 @@ class Model:
         return np.array(out, np.int32), tail
 
 
-def arrays(column: pa.ListArray) -> list[np.ndarray]:
-    """The lists of an Arrow column as numpy arrays."""
-    flat, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-    return [flat[a:b] for a, b in zip(offsets, offsets[1:])]
+def symbol_kind(n_symbols: int) -> type:
+    """Integers in which symbols are stored, as bytes, which the JVM passes on as they are."""
+    return np.uint16 if n_symbols < 1 << 16 else np.int32
+
+
+def arrays(column: pa.BinaryArray, kind: type) -> list[np.ndarray]:
+    """The symbols in the bytes of an Arrow column."""
+    return [np.frombuffer(x, kind) for x in column.to_pylist()]
 
 
 def grouped(sequences: list[np.ndarray], most: int = 4096) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
@@ -115,7 +119,7 @@ def grouped(sequences: list[np.ndarray], most: int = 4096) -> Iterator[tuple[lis
     while at < len(order):
         longest = len(sequences[order[at]])
         end = at + 1
-        while end < len(order) and end - at < most and 4 * len(sequences[order[end]]) >= 3 * longest - 64 and (end - at + 1) * longest <= 400_000:
+        while end < len(order) and end - at < most and 4 * len(sequences[order[end]]) >= 3 * longest - 64 and (end - at + 1) * longest <= 800_000:
             end += 1
         part = order[at:end]
         lengths = np.array([len(sequences[i]) for i in part])
@@ -131,14 +135,17 @@ def forward(model: Model, steps: np.ndarray, lo: int, hi: int, before: np.ndarra
 
     ``before`` are the variables of step ``lo - 1``.  Emissions are scaled by their mean over the states, variables to
     a sum of 1 at every ``SCALED`` th step and the last one; the emissions of such a step take over its scale, so that the
-    backward recursion on them stays in range too.  Beyond a sequence's end emissions are 1, which moves nothing.
+    backward recursion on them stays in range too.  As each state can be reached from any other in one step, and a smoothed emission and move are each
+    above 1e-15 up to 1e14 tokens, no variable falls under 1e-30 of the step before: 64 bits hold ``SCALED`` such steps.
+    Beyond a sequence's end emissions are 1, which moves nothing.
     """
     along, log_scale = model.scaled(kind)
     k, back, start = len(model.start), np.ascontiguousarray(model.move.T, kind), model.start.astype(kind)
+    here_steps = np.where(steps[lo:hi] < 0, along.shape[1] - 1, steps[lo:hi]).astype(np.intp)
     emitted = np.empty((hi - lo, k, steps.shape[1]), kind)
     for j in range(k):
-        emitted[:, j] = along[j][steps[lo:hi]]
-    logs, alpha, a = log_scale[steps[lo:hi]].sum(axis=0), np.empty_like(emitted), before
+        emitted[:, j] = np.take(along[j], here_steps)
+    logs, alpha, a = np.take(log_scale, here_steps).sum(axis=0), np.empty_like(emitted), before
     for i in range(hi - lo):
         here = alpha[i]
         if a is None:
@@ -165,7 +172,7 @@ def likelihood(model: Model, steps: np.ndarray, lengths: np.ndarray, chunk: int
     return total
 
 
-def expected(model: Model, sequences: list[np.ndarray], chunk: int = CHUNK, kind: type = np.float32) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def expected(model: Model, sequences: list[np.ndarray], chunk: int = CHUNK, kind: type = np.float64) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected counts of starts, moves and emissions (the E step) over whole sequences, and the logarithm of their likelihood.
 
     Long sequences are held ``chunk`` steps at a time: the forward variables before each chunk are kept, and the chunk's
@@ -178,27 +185,28 @@ def expected(model: Model, sequences: list[np.ndarray], chunk: int = CHUNK, kind
         before: list[np.ndarray | None] = [None]
         for lo, hi in zip(cuts[:-2], cuts[1:-1]):
             before.append(forward(model, steps, lo, hi, before[-1], kind)[0][-1])
-        carried = np.ones((k, steps.shape[1]), kind)
+        later = np.ones((k, steps.shape[1]), kind)
         for lo, hi, first in reversed([*zip(cuts[:-1], cuts[1:], before)]):
             alpha, ahead, logs = forward(model, steps, lo, hi, first, kind)
             total += logs.sum()
-            later = np.empty_like(alpha)
-            later[-1] = carried
+            betas = np.empty_like(alpha)
             for i in range(hi - lo - 1, -1, -1):
-                ahead[i] *= later[i]
-                if i:
-                    np.dot(move, ahead[i], out=later[i - 1])
-            carried = move @ ahead[0]
+                betas[i] = later
+                ahead[i] *= later
+                if i or first is not None:
+                    np.dot(move, ahead[i], out=later)
             ahead *= (steps[lo:hi] >= 0)[:, None]
-            moves += np.tensordot(alpha[:-1], ahead[1:], axes=([0, 2], [0, 2]))
+            moves += np.matmul(alpha[:-1], ahead[1:].transpose(0, 2, 1)).sum(axis=0)
             if first is not None:
                 moves += first @ ahead[0].T
-            alpha *= later
+            alpha *= betas
             if lo == 0:
                 start += alpha[0].sum(axis=1)
-            flat = np.where(steps[lo:hi] < 0, len(model.emit), steps[lo:hi]).ravel()
+            flat = np.where(steps[lo:hi] < 0, len(model.emit), steps[lo:hi]).astype(np.intp).ravel()
             for j in range(k):
                 emit[:, j] += np.bincount(flat, weights=alpha[:, j].ravel(), minlength=len(emit))
+    if not (np.isfinite(total) and np.isfinite(moves).all() and np.isfinite(emit).all()):
+        raise FloatingPointError("the expected counts aren't finite")
     return start, moves * model.move, emit[:-1], total
 
 
@@ -219,13 +227,13 @@ def initial(symbol_of: dict[bytes, int], unigram: np.ndarray, states: int, seed:
 def sums_of_counts(docs: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Baum-Welch counts and log-likelihood of all ``docs``, added up by block: inside each task, then over ``SALTS`` groups of tasks, then over the groups."""
     k, n_symbols = len(model.start), len(model.emit)
-    plain = Model({}, model.start, model.move, model.emit)
+    plain, kind = Model({}, model.start, model.move, model.emit), symbol_kind(n_symbols)
     names = ["block", "salt", "part"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = [np.zeros(k), np.zeros((k, k)), np.zeros((n_symbols, k)), 0.0]
         for b in batches:
-            sums = [x + y for x, y in zip(sums, expected(plain, arrays(b.column("symbols"))))]
+            sums = [x + y for x, y in zip(sums, expected(plain, arrays(b.column("symbols"), kind)))]
         flat, salt = np.concatenate([np.ravel(x) for x in sums]), TaskContext.get().partitionId() % SALTS
         for i in range(0, len(flat), 1024):
             yield pa.RecordBatch.from_arrays([pa.array([i // 1024], pa.int32()), pa.array([salt], pa.int32()), pa.array([flat[i : i + 1024].tobytes()], pa.binary())], names=names)
@@ -284,19 +292,19 @@ def score(docs: DataFrame, states: int = STATES, head: int = HEAD, rounds: int =
     unigram = np.concatenate([head_counts + 0.5, tail_n + 0.5 * (tail_v + 1)])
     unigram /= unigram.sum()
     probe = Model(symbol_of, np.ones(1), np.ones((1, 1)), unigram[:, None])
-    known = np.log10(head_counts + 0.5)
+    known, kind = np.log10(head_counts + 0.5), symbol_kind(len(unigram))
     tail_scale = np.log10(tail_n + 0.5 * (tail_v + 1))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, 2_500):
             out = [probe.symbols(tokens(t)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("held_out"), pa.array([s for s, _ in out], pa.list_(pa.int32())), pa.array([t for _, t in out], pa.list_(pa.binary()))],
+                [b.column("doc_id"), b.column("held_out"), pa.array([s.astype(kind).tobytes() for s, _ in out], pa.binary()), pa.array([t for _, t in out], pa.list_(pa.binary()))],
                 names=["doc_id", "held_out", "symbols", "tail"],
             )
 
     # uid tells repeated ids apart; the stored table fixes it
-    seen = keep(rows.mapInArrow(read, "doc_id bigint, held_out boolean, symbols array<int>, tail array<binary>").withColumn("uid", F.monotonically_increasing_id()), "symbols")
+    seen = keep(rows.mapInArrow(read, "doc_id bigint, held_out boolean, symbols binary, tail array<binary>").withColumn("uid", F.monotonically_increasing_id()), "symbols")
     training = seen.where(~F.col("held_out")).select("symbols")
 
     model = initial(symbol_of, unigram, states)
@@ -311,7 +319,7 @@ def score(docs: DataFrame, states: int = STATES, head: int = HEAD, rounds: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sequences = arrays(b.column("symbols"))
+            sequences = arrays(b.column("symbols"), kind)
             ll = np.zeros(len(sequences))
             for part, steps, lengths in grouped(sequences):
                 ll[part] = likelihood(plain, steps, lengths) / np.log(10)
@@ -320,7 +328,7 @@ def score(docs: DataFrame, states: int = STATES, head: int = HEAD, rounds: int =
                 h = s[s < n_head]
                 base.append(float(known[h].sum()))
                 in_head.append(int((head_counts[h] > 0).sum()))
-                own.append(float(-tail_scale[s[s >= n_head] - n_head].sum()))
+                own.append(float(-tail_scale[s[s >= n_head].astype(np.int64) - n_head].sum()))
             yield pa.RecordBatch.from_arrays(
                 [b.column("uid"), b.column("doc_id"), b.column("held_out"), pa.array([len(s) for s in sequences], pa.int64()), pa.array(in_head, pa.int64()), pa.array(base, pa.float64()), pa.array(ll + np.array(own), pa.float64())],
                 names=["uid", "doc_id", "held_out", "n_tokens", "head_known", "head_base", "head_score"],

@@ -628,3 +628,28 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(empty / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(empty)).count() == 0
     assert json.dumps(corpus_pipeline.ORACLE_SQL) == "null"
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_training_stays_finite_on_texts_that_alternate(seed):
+    """Six vocabularies that never mix, but for one text that alternates between two of them, and the counts of a large corpus."""
+    rng = np.random.default_rng(seed)
+    sequences = [np.append(rng.integers(0, 20, 40) + 20 * (k % 6), 120).astype(np.int32) for k in range(300)]
+    sequences.append(np.append(np.tile([3, 27], 60), 120).astype(np.int32))
+    unigram = np.bincount(np.concatenate(sequences), minlength=121) + 0.5
+    unigram /= unigram.sum()
+    for scale in (1, 1e4, 1e8):
+        m = language_model.initial({}, unigram, 6, seed)
+        for _ in range(14):
+            start, move, emit, total = language_model.expected(m, sequences)
+            assert np.isfinite(total) and np.isclose(emit.sum(), sum(map(len, sequences)))
+            m = language_model.maximised({}, start * scale, move * scale, emit * scale, unigram)
+        plain = [sum(language_model.likelihood(m, s, n).sum() for _, s, n in language_model.grouped([x])) for x in sequences[-2:]]
+        assert np.isfinite(plain).all()
+
+
+def test_counts_that_are_not_finite_are_an_error():
+    m = language_model.initial({}, np.full(3, 1 / 3), 2)
+    m.move[:] = np.nan
+    with pytest.raises(FloatingPointError):
+        language_model.expected(m, [np.array([0, 1, 2], np.int32)])
