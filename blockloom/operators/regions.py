@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockloom.operators.masks import with_reference
+from blockloom.session import bounded_broadcast, keep
 
-BIN, LINES = 1_000_000, 100_000
+BIN, LINES, SHARD = 1_000_000, 100_000, 64 << 20
 
 
 def parse_region(text: str) -> tuple[str, int, int | None]:
@@ -75,36 +79,95 @@ def clip_all(rows: DataFrame, regions: DataFrame) -> DataFrame:
     return _clipped(whole, F.col("region_start"), F.col("region_end"), ["ord"])
 
 
-def build_index(anchors: DataFrame, spacing: int = 10_000) -> DataFrame:
-    """Index entries of ``name, pos, offset``: the first anchor of each contig, then one at least ``spacing`` bases after the last.
+_FUNCTION = pa.schema([("shard", pa.int64()), ("name", pa.string()), ("upto", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("last_name", pa.string()), ("last_pos", pa.int64())])
 
-    The choice depends on the entry before, so each contig's anchors are walked in order by one task, as a stream.
-    """
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, last = None, 0
-        for b in batches:
-            take = []
-            for n, p in zip(b.column("name").to_pylist(), b.column("pos").to_pylist()):
-                take.append(n != name or p - last >= spacing)
-                if take[-1]:
-                    name, last = n, p
-            yield b.filter(pa.array(take, pa.bool_()))
+def _steps(pos: np.ndarray, spacing: int) -> tuple[list[int], list[int]]:
+    """Where the entries among a contig's anchors end, if the first of them must be at ``t`` or behind: ``ends[k]`` for the first ``upto[k]`` not below ``t``."""
+    reached = np.maximum.accumulate(pos)
+    follows = np.searchsorted(reached, reached + spacing)
+    ends = reached.copy()
+    for i in range(len(pos) - 1, -1, -1):
+        if follows[i] < len(pos):
+            ends[i] = ends[follows[i]]
+    last = np.append(ends[1:] != ends[:-1], True)
+    return reached[last].tolist(), ends[last].tolist()
+
+
+def _chosen(anchors: Iterable[tuple[str, int]], spacing: int, name: str | None, at: int) -> Iterator[bool]:
+    """Whether each anchor is an entry, after an entry at ``name, at`` (None: there is none)."""
+    for n, p in anchors:
+        take = n != name or p - at >= spacing
+        if take:
+            name, at = n, p
+        yield take
+
 
-    return anchors.select("name", "pos", "offset").repartition("name").sortWithinPartitions("name", "pos").mapInArrow(walk, "name string, pos bigint, offset bigint")
+def _by_shard(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[int, list[list]]]:
+    """The columns ``names`` of one shard after the other."""
+    records = ((r[0], r[1:]) for b in batches for r in zip(*(b.column(n).to_pylist() for n in ("shard", *names))))
+    for shard, group in groupby(records, lambda r: r[0]):
+        yield shard, [[*c] for c in zip(*(r for _, r in group))]
+
+
+def build_index(anchors: DataFrame, spacing: int = 10_000, shard: int = SHARD) -> DataFrame:
+    """Index entries of ``name, pos, offset``: in the order of ``offset``, the first anchor wherever the contig changes, then one at least ``spacing`` bases after the last.
+
+    The choice depends on the entry before.  So each shard of ``shard`` bytes says how it ends for any entry that it can come after, a step function
+    with no more steps than it has anchors in its last ``spacing`` bases.  The functions are composed along the file, a record per shard, and then all shards choose
+    their entries at the same time.
+    """
+    rows = anchors.select("name", "pos", "offset").withColumn("shard", F.expr(f"offset div {shard}"))
+    dealt = rows.repartition("shard").sortWithinPartitions("shard", "offset")
+
+    def functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, (names, pos) in _by_shard(batches, ["name", "pos"]):
+            n = next((i for i, x in enumerate(names) if x != names[0]), len(names))
+            upto, ends = _steps(np.asarray(pos[:n]), spacing)
+            last = (None, None)
+            if n < len(names):  # further contigs begin afresh, so the end is known
+                rest = [*zip(names, pos)][n:]
+                last = [a for a, take in zip(rest, _chosen(rest, spacing, None, 0)) if take][-1]
+            yield pa.RecordBatch.from_pylist([dict(zip(_FUNCTION.names, (key, names[0], upto, ends, *last)))], schema=_FUNCTION)
+
+    def composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, at = None, 0
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                out.append((r["shard"], name, at))
+                k = bisect_left(r["upto"], at + spacing) if name == r["name"] else 0
+                if r["last_name"] is not None:
+                    name, at = r["last_name"], r["last_pos"]
+                elif k < len(r["ends"]):
+                    name, at = r["name"], r["ends"][k]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.int64()))], names=["shard", "from_name", "from_pos"])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (names, pos, offsets, before, at) in _by_shard(batches, ["name", "pos", "offset", "from_name", "from_pos"]):
+            kept = [a for a, take in zip(zip(names, pos, offsets), _chosen(zip(names, pos), spacing, before[0], at[0])) if take]
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept), (pa.string(), pa.int64(), pa.int64()))], names=["name", "pos", "offset"])
+
+    per_shard = dealt.mapInArrow(functions, "shard bigint, name string, upto array<bigint>, ends array<bigint>, last_name string, last_pos bigint")
+    begun = keep(per_shard.coalesce(1).sortWithinPartitions("shard").mapInArrow(composed, "shard bigint, from_name string, from_pos bigint"), "index-shards")
+    met = rows.join(bounded_broadcast(begun, 200_000), "shard").repartition("shard").sortWithinPartitions("shard", "offset")
+    return met.mapInArrow(choose, "name string, pos bigint, offset bigint")
 
 
 def index_lines(entries: DataFrame) -> DataFrame:
-    """Delta-coded index ``name, pos, offset`` as text parts ``line_no, name, pos, offset``: ``*`` repeats the name, with differences.
+    """Delta-coded index ``name, pos, offset`` as text parts ``line_no, name, pos, offset``, in the order of ``offset``: ``*`` repeats the name, with differences.
 
-    Lines are numbered inside each contig and shifted by the contigs before, so only one record per contig is ordered as a whole.
+    Lines are numbered inside shards of bytes and shifted by the shards before, so only one record per shard is ordered as a whole.
     """
-    sizes = entries.groupBy("name").agg(F.count("*").alias("n"))
-    before = sizes.select("name", (F.sum("n").over(Window.orderBy("name")) - F.col("n")).alias("before"))
-    order = Window.partitionBy("name").orderBy("pos", "offset")
-    numbered = entries.join(before, "name").withColumn("line_no", F.row_number().over(order) - 1 + F.col("before"))
-    numbered = numbered.withColumn("p", F.lag("pos").over(order)).withColumn("o", F.lag("offset").over(order))
-    return numbered.select("line_no", F.when(F.col("p").isNull(), F.col("name")).otherwise("*").alias("name"), (F.col("pos") - F.coalesce("p", F.lit(0))).alias("pos"), (F.col("offset") - F.coalesce("o", F.lit(0))).alias("offset"))
+    sharded = entries.withColumn("shard", F.expr(f"offset div {SHARD}"))
+    last = F.max_by(F.struct("name", "pos", "offset"), "offset")
+    along = Window.orderBy("shard")
+    shards = sharded.groupBy("shard").agg(F.count("*").alias("n"), last.alias("last")).select("shard", (F.sum("n").over(along) - F.col("n")).alias("before"), F.lag("last").over(along).alias("last"))
+    order = Window.partitionBy("shard").orderBy("offset")
+    numbered = sharded.join(shards, "shard").withColumn("line_no", F.row_number().over(order) - 1 + F.col("before"))
+    numbered = numbered.withColumn("p", F.coalesce(F.lag(F.struct("name", "pos", "offset")).over(order), "last")).withColumn("same", F.coalesce(F.col("p.name") == F.col("name"), F.lit(False)))
+    return numbered.select("line_no", F.when(F.col("same"), "*").otherwise(F.col("name")).alias("name"), *((F.col(c) - F.when(F.col("same"), F.col(f"p.{c}")).otherwise(0)).alias(c) for c in ("pos", "offset")))
 
 
 def expand_index(lines: DataFrame) -> DataFrame:

@@ -54,5 +54,5 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_index(entries: DataFrame, path: str) -> None:
-    """Delta-coded lines, ordered by contig and position."""
-    index_lines(entries).orderBy("line_no").select(F.concat_ws("\t", "name", "pos", "offset").alias("value")).coalesce(1).write.text(path)
+    """Delta-coded lines in the order of the file that they index; the parts follow each other."""
+    index_lines(entries).repartitionByRange("line_no").sortWithinPartitions("line_no").select(F.concat_ws("\t", "name", "pos", "offset").alias("value")).write.text(path)

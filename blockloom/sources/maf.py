@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.schema import ROW_COLUMNS
+from blockloom.sources.lines import write_lines
 
 
 def header(spark: SparkSession, path: str) -> dict[str, str]:
@@ -18,18 +19,23 @@ def header(spark: SparkSession, path: str) -> dict[str, str]:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a file; ``block_id`` grows along it.
 
-    A record is what stands between blank lines, so that plain files split and
-    compressed ones are one task each. Lines other than ``s`` are skipped; rows of a block must be equally wide.
+    A block ends at a line without words.  Records are cut at empty lines, so that plain files split and compressed ones are one task each, and then at lines that
+    hold blanks only; files with the line ends of Windows, told by their first line, are cut alike.
+    Lines other than ``s`` are skipped; rows of unequal width in a block are an error.
     """
-    records = spark.read.text(path, lineSep="\n\n").withColumn("block_id", F.monotonically_increasing_id())
+    first = spark.read.text(path, lineSep="\n").head()
+    ends = "\r\n" if first and first["value"].endswith("\r") else "\n"
+    records = spark.read.text(path, lineSep=2 * ends).select(F.explode(F.split("value", r"\n[ \t\r]*\n")).alias("value")).withColumn("block_id", F.monotonically_increasing_id())
     lines = F.filter(F.split("value", "\n"), lambda x: x.rlike(r"^s[ \t]"))
-    rows = records.where(F.size(lines) > 0).select("block_id", F.posexplode(lines).alias("row_index", "line"))
-    f = F.split(F.trim("line"), "[ \\t]+")
-    rows = rows.select(
-        "block_id", F.col("row_index").cast("long").alias("row_index"), F.get(f, F.lit(1)).alias("sequence_name"), F.get(f, F.lit(2)).cast("long").alias("start"), F.get(f, F.lit(3)).cast("long").alias("length"),
-        (F.get(f, F.lit(4)) == "+").alias("strand"), F.get(f, F.lit(5)).cast("long").alias("sequence_length"), F.get(f, F.lit(6)).alias("bases"),
+    fields = F.transform(lines, lambda x: F.split(F.trim(x), "[ \\t\\r]+"))
+    blocks = records.select("block_id", fields.alias("fields")).where(F.size("fields") > 0).withColumn("w", F.length(F.get(F.get("fields", F.lit(0)), F.lit(6))))
+    rows = blocks.select("block_id", "w", F.posexplode("fields").alias("row_index", "f"))
+    at = lambda n: F.get("f", F.lit(n))
+    bases = F.when(F.length(at(6)) == F.col("w"), at(6)).otherwise(F.raise_error(F.concat(F.lit("rows of unequal width in a block: "), F.array_join("f", " "))))
+    return rows.select(
+        "block_id", F.col("row_index").cast("long").alias("row_index"), at(1).alias("sequence_name"), at(2).cast("long").alias("start"), at(3).cast("long").alias("length"),
+        (at(4) == "+").alias("strand"), at(5).cast("long").alias("sequence_length"), bases.alias("bases"),
     )
-    return rows
 
 
 def check_widths(rows: DataFrame) -> DataFrame:
@@ -49,4 +55,4 @@ def write(rows: DataFrame, path: str, tags: dict[str, str] | None = None, compre
     head = "##maf " + " ".join(f"{k}={v}" for k, v in (tags or {"version": "1"}).items()) + "\n"
     first = rows.sparkSession.createDataFrame([(-1, head)], "block_id bigint, value string")
     out = first.unionByName(text(rows.select(*ROW_COLUMNS)))
-    out.repartitionByRange("block_id").sortWithinPartitions("block_id").select("value").write.text(path, compression=compression)
+    write_lines(out, path, compression)

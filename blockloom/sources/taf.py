@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from blockloom.functions.align import wavefront
 from blockloom.operators.links import block_ordinals
+from blockloom.sources.lines import write_lines
 
 ROWS = "block_id bigint, row_index bigint, sequence_name string, start bigint, length bigint, strand boolean, sequence_length bigint, bases string, left_gap_sequence string, l_row_index bigint"
 TAGS = "block_id bigint, col bigint, tags array<struct<key: string, value: string>>"
@@ -260,4 +261,4 @@ def write(rows: DataFrame, path: str, tags: dict[str, str] | None = None, rle: b
     tags = dict(tags or {"version": "1"}) | ({"run_length_encode_bases": "1"} if rle else {})
     first = rows.sparkSession.createDataFrame([(-1, "#taf " + " ".join(f"{k}:{v}" for k, v in tags.items()))], "block_id bigint, value string")
     out = first.unionByName(text(rows, repeat, rle, column_tags))
-    out.repartitionByRange("block_id").sortWithinPartitions("block_id").select("value").write.text(path, compression=compression)
+    write_lines(out, path, compression)
