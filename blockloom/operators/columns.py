@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from blockloom.functions.scalars import base_code, one_hot
 
-SHARD = 100_000
+#: Block ids of a shard, and columns of a range of windows.
+SHARD, WINDOWED = 100_000, 4_096
 
 
 def block_offsets(blocks: DataFrame) -> DataFrame:
@@ -23,6 +24,15 @@ def block_offsets(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("inside", inside).join(before, "shard").select("block_id", (F.col("inside") + F.col("before")).alias("offset"))
 
 
+def packed_columns(rows: DataFrame) -> DataFrame:
+    """``block_id, columns, ref_start, names``: each block's columns as an array of strings of bases in row order, and the sequence names in row order."""
+    order = F.array_sort(F.collect_list(F.struct("row_index", "sequence_name", "bases")))
+    blocks = rows.groupBy("block_id").agg(order.alias("r"), F.max(F.when(F.col("row_index") == 0, F.col("start"))).alias("ref_start"))
+    blocks = blocks.select("block_id", "ref_start", F.transform("r", lambda r: F.split(r["bases"], "")).alias("b"), F.transform("r", lambda r: r["sequence_name"]).alias("names"))
+    joined = F.transform(F.sequence(F.lit(0), F.size(F.get("b", F.lit(0))) - 1), lambda i: F.array_join(F.transform("b", lambda b: F.get(b, i)), ""))
+    return blocks.select("block_id", joined.alias("columns"), "ref_start", "names")
+
+
 def columns(rows: DataFrame, only_reference: bool = False, names: bool = False) -> DataFrame:
     """``block_id, col, bases, ref_pos, ref_base``: each column's bases in row order.
 
@@ -30,11 +40,7 @@ def columns(rows: DataFrame, only_reference: bool = False, names: bool = False)
     the reference has a gap there; ``only_reference`` leaves such columns out.
     ``names`` adds the sequence names in row order.
     """
-    order = F.array_sort(F.collect_list(F.struct("row_index", "sequence_name", "bases")))
-    blocks = rows.groupBy("block_id").agg(order.alias("r"), F.max(F.when(F.col("row_index") == 0, F.col("start"))).alias("ref_start"))
-    blocks = blocks.select("block_id", "ref_start", F.transform("r", lambda r: F.split(r["bases"], "")).alias("b"), F.transform("r", lambda r: r["sequence_name"]).alias("names"))
-    joined = F.transform(F.sequence(F.lit(0), F.size(F.get("b", F.lit(0))) - 1), lambda i: F.array_join(F.transform("b", lambda b: F.get(b, i)), ""))
-    out = blocks.select("block_id", "ref_start", "names", F.posexplode(joined).alias("col", "bases")).withColumn("ref_base", F.substring("bases", 1, 1))
+    out = packed_columns(rows).select("block_id", "ref_start", "names", F.posexplode("columns").alias("col", "bases")).withColumn("ref_base", F.substring("bases", 1, 1))
     before = F.sum((F.col("ref_base") != "-").cast("long")).over(Window.partitionBy("block_id").orderBy("col").rowsBetween(Window.unboundedPreceding, -1))
     out = out.select("block_id", F.col("col").cast("long").alias("col"), "bases", (F.col("ref_start") + F.coalesce(before, F.lit(0))).alias("ref_pos"), "ref_base", *(["names"] if names else []))
     return out.where("ref_base <> '-'") if only_reference else out
@@ -69,14 +75,35 @@ def drop_tag(tags: Column, key: str) -> Column:
     return F.filter(tags, lambda t: t["key"] != key)
 
 
-def windows(cols: DataFrame, rows: DataFrame, length: int, step: int) -> DataFrame:
-    """``window, bases``: ``length`` consecutive columns every ``step`` columns, across blocks; a short tail is left out.
+def windows(cols: DataFrame, length: int, step: int) -> DataFrame:
+    """``window, bases``: ``length`` consecutive ones of ``cols`` (``block_id, col, bases``; any type) every ``step`` columns, across blocks; a short tail is left out."""
+    packed = cols.groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("col", "bases"))).alias("x"))
+    widths = cols.groupBy("block_id").agg(F.count("*").alias("w"))
+    return _windows(packed.select("block_id", F.transform("x", lambda x: x["bases"]).alias("x")), widths, length, step)
+
+
+def row_windows(rows: DataFrame, length: int, step: int) -> DataFrame:
+    """``windows`` of the columns of ``rows``, which needn't be told apart first."""
+    widths = rows.where("row_index = 0").select("block_id", F.length("bases").cast("long").alias("w"))
+    return _windows(packed_columns(rows).select("block_id", F.col("columns").alias("x")), widths, length, step)
+
+
+def _windows(blocks: DataFrame, widths: DataFrame, length: int, step: int) -> DataFrame:
+    """Windows over ``block_id, x`` (an array of columns each), whose sizes are ``widths``.
 
-    ``cols``: ``block_id, col`` and ``bases``, of ``rows``.
+    Columns are dealt into ranges of ``span`` columns, each with ``length - 1`` more; a range slices its own windows.
     """
-    offsets = block_offsets(rows.groupBy("block_id").agg(F.max(F.length("bases")).cast("long").alias("w")))
-    at = cols.join(offsets, "block_id").select((F.col("offset") + F.col("col")).alias("o"), "bases")
-    first, last = F.ceil((F.col("o") - length + 1) / step), F.floor(F.col("o") / step)
-    spread = at.where(F.greatest(first, F.lit(0)) <= last).select("o", "bases", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)).alias("window"))
-    whole = spread.groupBy("window").agg(F.array_sort(F.collect_list(F.struct("o", "bases"))).alias("x")).where(F.size("x") == length)
-    return whole.select("window", F.transform("x", lambda x: x["bases"]).alias("bases"))
+    span = step * max(1, -(-max(WINDOWED, length) // step))
+    at = blocks.join(block_offsets(widths), "block_id").where(F.size("x") > 0)
+    first, last = F.greatest(F.lit(0), F.floor((F.col("offset") - (length - 1)) / span)), F.floor((F.col("offset") + F.size("x") - 1) / span)
+    spread = at.withColumn("part", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+    begin = F.greatest(F.col("part") * span - F.col("offset"), F.lit(0)).cast("int")
+    end = F.least((F.col("part") + 1) * span + length - 1 - F.col("offset"), F.size("x")).cast("int")
+    pieces = spread.select("part", (F.col("offset") + begin).alias("o"), F.slice("x", begin + 1, end - begin).alias("x"))
+    whole = pieces.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("o", "x"))).alias("pieces"))
+    whole = whole.select("part", F.get("pieces", F.lit(0))["o"].alias("o"), F.flatten(F.transform("pieces", lambda p: p["x"])).alias("x"))
+    # a range's first own column is there unless the file begins later, which it doesn't: columns are numbered without gaps
+    most = F.least(F.floor((F.col("o") + F.size("x") - length) / step), F.expr(f"((part + 1) * {span} - 1) div {step}")).cast("long")
+    least = F.expr(f"(part * {span} + {step - 1}) div {step}")
+    own = F.transform(F.sequence(least, most), lambda k: F.struct(k.alias("window"), F.slice("x", (k * step - F.col("o") + 1).cast("int"), F.lit(length)).alias("bases")))
+    return whole.where(most >= least).select(F.explode(own).alias("w")).select("w.*")

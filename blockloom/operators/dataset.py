@@ -21,7 +21,7 @@ def examples(rows: DataFrame, tagged: DataFrame | None = None, label: Callable[[
     else:
         cols = cols.withColumn("label", F.lit(None).cast("double"))
     packed = cols.select("block_id", "col", F.struct("bases", "label").alias("bases"))
-    whole = columns.windows(packed, rows, length, step)
+    whole = columns.windows(packed, length, step)
     encode = columns.one_hots if one_hot else columns.codes
     return whole.select("window", F.transform("bases", lambda c: encode(c["bases"])).alias("x"), F.transform("bases", lambda c: c["label"]).alias("label"))
 

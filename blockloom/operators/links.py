@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockloom.functions.align import wavefront
 from blockloom.functions.scalars import reverse_complement
 from blockloom.operators.columns import SHARD
+from blockloom.operators.shards import block_starts, by_shard, with_halo
 
 
 def block_ordinals(rows: DataFrame) -> DataFrame:
@@ -22,26 +25,79 @@ def block_ordinals(rows: DataFrame) -> DataFrame:
     return blocks.withColumn("rank", rank).join(before, "shard").select("block_id", (F.col("rank") + F.col("before")).alias("ordinal"))
 
 
-def is_predecessor(left: str = "l", right: str = "r") -> Column:
-    """Whether the right row may continue the left one: strand, order, then name."""
-    return F.expr(f"{left}.strand = {right}.strand and {left}.start + {left}.length <= {right}.start and {left}.sequence_name = {right}.sequence_name")
+def _follows(left: tuple, right: tuple) -> bool:
+    """Whether a row (name, strand, start, end) may continue another: strand, order, then name."""
+    return left[1] == right[1] and left[3] <= right[2] and left[0] == right[0]
 
 
-def paired(rows: DataFrame) -> DataFrame:
-    """Each row ``r`` with the row ``l`` of the same index in the block before, and whether the whole block pair matches so (``fast``)."""
-    numbered = rows.join(block_ordinals(rows), "block_id")
-    counts = F.count("*").over(Window.partitionBy("ordinal"))
-    record = F.struct("block_id", "row_index", "sequence_name", "start", "length", "strand", "sequence_length")
-    right = numbered.select("ordinal", "row_index", record.alias("r"), counts.alias("n"))
-    left = numbered.select((F.col("ordinal") + 1).alias("ordinal"), "row_index", record.alias("l"), counts.alias("m"))
-    both = right.join(left, ["ordinal", "row_index"], "left").withColumn("ok", F.coalesce(is_predecessor(), F.lit(False)))
-    fast = F.min((F.col("ok") & (F.col("n") == F.col("m"))).cast("int")).over(Window.partitionBy("ordinal")) == 1
-    return both.withColumn("fast", fast)
+def aligned(left: list[tuple], right: list[tuple], substitutions: bool = True) -> list[int | None]:
+    """For each right row (name, strand, start, end) the left row that it is linked to, by an ordered alignment of both lists.
+
+    A pair that isn't a predecessor is a substitution and counts as one edit, if allowed.
+    """
+    to: list[int | None] = [None] * len(right)
+    for i, j in wavefront(left, right, _follows, 1, 1 if substitutions else 10**8):
+        if i is not None and j is not None:
+            to[j] = i
+    return to
+
+
+def shard_links(table: pa.Table, how: str = "diff") -> tuple[np.ndarray, np.ndarray, int]:
+    """For each row of a shard the place of the row that it is linked to (-1: none), whether its whole block pairs one to one, and where the shard's own rows begin.
+
+    ``how``: ``diff`` and ``exact`` align the lists, with substitutions and without, where rows don't pair one to one; ``index`` takes the row of the same index.
+    """
+    starts, halo = block_starts(table)
+    n = len(table)
+    names = table.column("sequence_name").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    strand = table.column("strand").to_numpy().astype(np.int8)
+    begin = table.column("start").to_numpy()
+    end = begin + table.column("length").to_numpy()
+    sizes = np.diff(starts)
+    block = np.repeat(np.arange(len(sizes)), sizes)
+    first, size_before = np.append(-1, starts[:-2]), np.append(0, sizes[:-1])
+    inside = np.arange(n) - starts[block]
+    same = np.where(inside < size_before[block], first[block] + inside, -1)  # the row of the same index in the block before
+    ok = (same >= 0) & (names[same] == names) & (strand[same] == strand) & (end[same] <= begin)
+    fast = np.logical_and.reduceat(ok, starts[:-1]) & (sizes == size_before) if n else np.zeros(0, bool)
+    left = same.copy()
+    if how != "index":
+        left[~fast[block]] = -1
+        rows = [*zip(names.tolist(), strand.tolist(), begin.tolist(), end.tolist())]
+        at = starts.tolist()
+        for b in np.flatnonzero(~fast).tolist():
+            if b:
+                to = aligned(rows[at[b - 1] : at[b]], rows[at[b] : at[b + 1]], how == "diff")
+                left[at[b] : at[b + 1]] = [-1 if i is None else at[b - 1] + i for i in to]
+    return left, fast[block], int(starts[halo])
+
+
+LINKED = "block_id bigint, row_index bigint, sequence_name string, start bigint, length bigint, strand boolean, sequence_length bigint, l_block_id bigint, l_row_index bigint, l_end bigint, ok boolean, fast boolean"
+
+
+def linked(rows: DataFrame, how: str = "diff") -> DataFrame:
+    """Each row with the row of the block before that it is linked to (``l_block_id, l_row_index``, its end ``l_end``; null: none), whether it continues that row
+    (``ok``), and whether its whole block continues the one before row by row (``fast``).  One pass over shards with halos; ``how`` as in ``shard_links``.
+    """
+    own = ["block_id", "row_index", "sequence_name", "start", "length", "strand", "sequence_length"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_shard(batches):
+            left, fast, begin = shard_links(table, how)
+            at = pa.array(np.maximum(left, 0), mask=left < 0)
+            before = table.take(at)
+            end = pc.add(before.column("start"), before.column("length"))
+            ok = pc.and_(pc.and_(pc.equal(before.column("strand"), table.column("strand")), pc.less_equal(end, table.column("start"))), pc.equal(before.column("sequence_name"), table.column("sequence_name")))
+            out = table.select(own).append_column("l_block_id", before.column("block_id")).append_column("l_row_index", before.column("row_index"))
+            out = out.append_column("l_end", end).append_column("ok", pc.fill_null(ok, False)).append_column("fast", pa.array(fast))
+            yield from out.slice(begin).to_batches(max_chunksize=10_000)
+
+    return with_halo(rows.select(*own)).mapInArrow(run, LINKED)
 
 
 def fast_links(rows: DataFrame) -> DataFrame:
     """``block_id, row_index, l_block_id, l_row_index`` of the blocks whose rows continue those before one to one."""
-    return paired(rows).where("fast").select("r.block_id", "r.row_index", F.col("l.block_id").alias("l_block_id"), F.col("l.row_index").alias("l_row_index"))
+    return linked(rows, "index").where("fast").select("block_id", "row_index", "l_block_id", "l_row_index")
 
 
 def diff_links(rows: DataFrame, substitutions: bool = True) -> DataFrame:
@@ -50,40 +106,11 @@ def diff_links(rows: DataFrame, substitutions: bool = True) -> DataFrame:
     Rows may pair only in order; a pair that isn't a predecessor is a substitution and counts as one edit, if allowed.
     Lists that pair one to one are linked so without an alignment, which is the only one without edits.
     """
-    numbered = rows.join(block_ordinals(rows), "block_id")
-    record = F.struct("row_index", "sequence_name", "start", "length", "strand")
-    blocks = numbered.groupBy("ordinal", "block_id").agg(F.array_sort(F.collect_list(record)).alias("r"))
-    left = blocks.select((F.col("ordinal") + 1).alias("ordinal"), F.col("r").alias("l"))
-    follows = lambda x, y: x["strand"] == y["strand"] and x["start"] + x["length"] <= y["start"] and x["sequence_name"] == y["sequence_name"]
-    schema = pa.schema([("block_id", pa.int64()), ("row_index", pa.int64()), ("l_row_index", pa.int64())])
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for block, right, left in zip(*(batch.column(c).to_pylist() for c in ("block_id", "r", "l"))):
-                left = left or []
-                if len(left) == len(right) and all(map(follows, left, right)):
-                    to = dict(enumerate(range(len(right))))
-                else:
-                    pairs = wavefront(left, right, follows, 1, 1 if substitutions else 10**8)
-                    to = {j: i for i, j in pairs if i is not None and j is not None}
-                out += [(block, r["row_index"], left[to[j]]["row_index"] if j in to else None) for j, r in enumerate(right)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 3, schema=schema)
-
-    return blocks.join(left, "ordinal", "left").select("block_id", "r", "l").mapInArrow(link, "block_id bigint, row_index bigint, l_row_index bigint")
-
-
-def linked(rows: DataFrame) -> DataFrame:
-    """Each row ``r`` with the row ``l`` that it is linked to by the ordered alignment, and whether it continues that row (``ok``)."""
-    numbered = rows.join(block_ordinals(rows), "block_id")
-    record = F.struct("block_id", "row_index", "sequence_name", "start", "length", "strand", "sequence_length")
-    left = numbered.select((F.col("ordinal") + 1).alias("ordinal"), F.col("row_index").alias("l_row_index"), record.alias("l"))
-    right = numbered.join(diff_links(rows), ["block_id", "row_index"]).select("ordinal", "l_row_index", record.alias("r"))
-    return right.join(left, ["ordinal", "l_row_index"], "left").withColumn("ok", F.coalesce(is_predecessor(), F.lit(False)))
+    return linked(rows, "diff" if substitutions else "exact").select("block_id", "row_index", "l_row_index")
 
 
 def _pairs(rows: DataFrame, same_index: bool) -> DataFrame:
-    return paired(rows) if same_index else linked(rows)
+    return linked(rows, "index" if same_index else "diff").withColumn("gap", F.when(F.col("ok"), F.col("start") - F.col("l_end")))
 
 
 def common_rows(rows: DataFrame, same_index: bool = False) -> DataFrame:
@@ -91,14 +118,13 @@ def common_rows(rows: DataFrame, same_index: bool = False) -> DataFrame:
 
     ``same_index`` takes the row of the same index instead of the linked one, which is exact where no row comes or goes.
     """
-    gap = F.expr("r.start - (l.start + l.length)")
-    both = _pairs(rows, same_index).groupBy(F.col("r.block_id").alias("block_id")).agg(F.sum(F.col("ok").cast("long")).alias("common"), F.max(F.when(F.col("ok"), gap)).alias("max_gap"))
+    both = _pairs(rows, same_index).groupBy("block_id").agg(F.sum(F.col("ok").cast("long")).alias("common"), F.max("gap").alias("max_gap"))
     return both.select("block_id", "common", F.coalesce("max_gap", F.lit(0)).alias("max_gap"))
 
 
 def gap_lengths(rows: DataFrame, same_index: bool = False) -> DataFrame:
     """``block_id, row_index, gap`` between each row and the one it continues; ``same_index`` as in ``common_rows``."""
-    return _pairs(rows, same_index).where("ok").select("r.block_id", "r.row_index", F.expr("r.start - (l.start + l.length)").alias("gap"))
+    return _pairs(rows, same_index).where("ok").select("block_id", "row_index", "gap")
 
 
 def gap_bases(rows: DataFrame, sequences: DataFrame, most: int = 50, same_index: bool = False) -> DataFrame:
@@ -106,8 +132,7 @@ def gap_bases(rows: DataFrame, sequences: DataFrame, most: int = 50, same_index:
 
     ``most`` caps the gap (-1: no cap); ``same_index`` as in ``common_rows``.  On the - strand the bases are those of the reverse complement.
     """
-    found = _pairs(rows, same_index).where("ok").select("r.block_id", "r.row_index", "r.sequence_name", "r.strand", "r.sequence_length", F.expr("l.start + l.length").alias("at"), F.expr("r.start - (l.start + l.length)").alias("gap"))
-    wanted = found.where((F.col("gap") > 0) & (F.lit(most < 0) | (F.col("gap") <= most)))
+    wanted = _pairs(rows, same_index).where((F.col("gap") > 0) & (F.lit(most < 0) | (F.col("gap") <= most)))
     found = wanted.join(sequences, F.col("sequence_name") == F.col("name"), "left")
-    plus, minus = F.expr("substring(seq, cast(at + 1 as int), cast(gap as int))"), reverse_complement(F.expr("substring(seq, cast(sequence_length - at - gap + 1 as int), cast(gap as int))"))
+    plus, minus = F.expr("substring(seq, cast(l_end + 1 as int), cast(gap as int))"), reverse_complement(F.expr("substring(seq, cast(sequence_length - l_end - gap + 1 as int), cast(gap as int))"))
     return found.select("block_id", "row_index", F.when(F.col("strand"), plus).otherwise(minus).alias("left_gap_sequence"))

@@ -306,12 +306,12 @@ select k as window, string_agg(bases, '|' order by o) as bases from v group by 1
 
 @query(WINDOW.replace("z as (select o, bases, unnest(range(0, cast(o // {step} as bigint) + 1)) as k from o),\n", "").format(length=16, step=16, spread=1))
 def windows_tumbling(aln, spark):
-    return columns.windows(columns.columns(aln), aln, 16, 16).select("window", F.array_join("bases", "|").alias("bases"))
+    return columns.row_windows(aln, 16, 16).select("window", F.array_join("bases", "|").alias("bases"))
 
 
 @query(WINDOW.replace("z as (select o, bases, unnest(range(0, cast(o // {step} as bigint) + 1)) as k from o),\n", "").format(length=10, step=4, spread=3))
 def windows_sliding(aln, spark):
-    return columns.windows(columns.columns(aln), aln, 10, 4).select("window", F.array_join("bases", "|").alias("bases"))
+    return columns.row_windows(aln, 10, 4).select("window", F.array_join("bases", "|").alias("bases"))
 
 
 TRACK = "select concat('ref.chr', cast(pos % 3 as {s})) as sequence_name, pos, cast(pos % 97 as double) / 4 as value from (select explode(sequence(0L, 60000L)) as pos)"
@@ -486,7 +486,7 @@ def maf_text(aln, spark):
 
 @query()
 def taf_text(aln, spark):
-    return taf.text(aln)
+    return taf.text(aln).select("block_id", "value")
 
 
 @query(" select * from aln where row_index >= 0")

@@ -11,18 +11,19 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from blockloom.functions.align import wavefront
-from blockloom.operators.links import block_ordinals
+from blockloom.operators.links import shard_links
+from blockloom.operators.shards import block_starts, by_shard, with_halo
 from blockloom.sources.lines import write_lines
 
 ROWS = "block_id bigint, row_index bigint, sequence_name string, start bigint, length bigint, strand boolean, sequence_length bigint, bases string, left_gap_sequence string, l_row_index bigint"
 TAGS = "block_id bigint, col bigint, tags array<struct<key: string, value: string>>"
-SHARD = 5_000
 
 
 def header(spark: SparkSession, path: str) -> dict[str, str]:
@@ -164,10 +165,10 @@ def column_text(bases: str, rle: bool) -> str:
     return " ".join(out)
 
 
-def coordinates(before: list[dict], rows: list[dict], repeat: int) -> str:
+def coordinates(before: list[dict], rows: list[dict], repeat: int, everything: bool = False) -> str:
     """The operations that turn the rows of the block before into ``rows`` (``l_row_index`` names what a row continues).
 
-    ``since`` counts a row's bases since its coordinates were given; over ``repeat`` they are given again.
+    ``since`` counts a row's bases since its coordinates were given; over ``repeat`` they are given again.  ``everything`` gives all coordinates.
     """
     ops, kept = [], {r["l_row_index"] for r in rows if r["l_row_index"] is not None}
     gone = 0
@@ -176,7 +177,6 @@ def coordinates(before: list[dict], rows: list[dict], repeat: int) -> str:
             gone += 1
         else:
             ops.append(f"d {gone}")
-    everything = False
     for i, r in enumerate(rows):
         place = f"{i} {r['sequence_name']} {r['start']} {'+' if r['strand'] else '-'} {r['sequence_length']}"
         if r["l_row_index"] is None:
@@ -210,49 +210,63 @@ def link(left: list[dict], right: list[dict], substitutions: bool = True) -> lis
 
 
 def text(rows: DataFrame, repeat: int = 10_000, rle: bool = False, tags: DataFrame | None = None) -> DataFrame:
-    """``block_id`` (dense number of the block) and ``value``, its lines.
+    """``block_id`` (dense number of the block), ``value``, its lines, and the ``shard`` that they were written in.
 
-    Blocks are written in shards of ``SHARD``; a shard's first block deletes the rows before it and gives all coordinates, so that shards don't depend on each other.
+    A shard knows the block before it.  Its first block gives all coordinates, so that shards are written and read by themselves.
     """
-    numbered = rows.join(block_ordinals(rows), "block_id").withColumn("shard", F.expr(f"ordinal div {SHARD}"))
-    if "left_gap_sequence" not in rows.columns:
-        numbered = numbered.withColumn("left_gap_sequence", F.lit(None).cast("string"))
+    own = ["block_id", "row_index", "sequence_name", "start", "length", "strand", "sequence_length", "bases"]
+    gaps = F.col("left_gap_sequence") if "left_gap_sequence" in rows.columns else F.lit(None).cast("string")
+    given = rows.select(*own, gaps.alias("left_gap_sequence"))
     if tags is not None:
         line = F.array_join(F.transform("tags", lambda t: F.concat(t["key"], F.lit(":"), t["value"])), " ")
         tagged = tags.groupBy("block_id").agg(F.map_from_entries(F.collect_list(F.struct("col", line))).alias("column_tags"))
-        numbered = numbered.join(tagged, "block_id", "left")
+        given = given.join(tagged, "block_id", "left")
     else:
-        numbered = numbered.withColumn("column_tags", F.lit(None).cast("map<bigint, string>"))
-    sizes = numbered.groupBy("shard").agg(F.max_by("row_index", F.struct("ordinal", "row_index")).alias("top"))
-    before = sizes.select((F.col("shard") + 1).alias("shard"), (F.col("top") + 1).alias("rows_before"))
-    numbered = numbered.join(before, "shard", "left").select("shard", "ordinal", "row_index", "sequence_name", "start", "length", "strand", "sequence_length", "bases", "left_gap_sequence", "column_tags", F.coalesce("rows_before", F.lit(0)).alias("rows_before"))
-
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ordinal", "row_index"])
-        out, last = [], None
-        for ordinal, group in pdf.groupby("ordinal", sort=True):
-            block = group.to_dict("records")
-            for r, i in zip(block, link(last, block) if last is not None else [None] * len(block)):
-                r["l_row_index"] = i
-            ops = coordinates(last or [], block, repeat)
-            if last is None and block[0]["rows_before"]:
-                ops = ops.replace(" ;", " ;" + " d 0" * int(block[0]["rows_before"]), 1)
-            lines = []
-            own = block[0]["column_tags"]
-            own = dict(own) if own is not None else {}
-            for c, column in enumerate(map("".join, zip(*(r["bases"] for r in block)))):
-                lines.append(column_text(column, rle) + (ops if c == 0 else "") + (f" @ {own[c]}" if own.get(c) else ""))
-            out.append((ordinal, "\n".join(lines)))
-            last = block
-        return pd.DataFrame(out, columns=["block_id", "value"])
-
-    return numbered.groupBy("shard").applyInPandas(write, "block_id bigint, value string")
+        given = given.withColumn("column_tags", F.lit(None).cast("map<bigint, string>"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_shard(batches):
+            left = shard_links(table)[0].tolist()
+            starts, halo = block_starts(table)
+            starts = starts.tolist()
+            meta = table.select([*own[2:7], "left_gap_sequence"]).to_pylist()
+            texts, tagged = table.column("bases").combine_chunks(), table.column("column_tags")
+            numbers, out, last = table.column("n_before")[-1].as_py(), [], []
+            for b, (lo, hi) in enumerate(zip(starts, starts[1:])):
+                block = meta[lo:hi]
+                for r, i in zip(block, left[lo:hi]):
+                    r["l_row_index"], r["since"] = i - starts[b - 1] if i >= 0 else None, 0
+                if b >= halo:
+                    ops = coordinates(last, block, repeat, b == halo)
+                    labels = dict(tagged[lo].as_py() or ())
+                    out.append((numbers + b - halo, _lines(texts[lo:hi], ops, rle, labels)))
+                last = block
+            for k in range(0, len(out), 1_000):
+                ids, values = zip(*out[k : k + 1_000])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.string()), pa.array([table.column("shard")[0].as_py()] * len(ids), pa.int64())], names=["block_id", "value", "shard"])
+
+    return with_halo(given).mapInArrow(run, "block_id bigint, value string, shard bigint")
+
+
+def _lines(rows: pa.StringArray, ops: str, rle: bool, labels: dict[int, str]) -> str:
+    """The lines of a block: its rows turned to columns as one array of bytes, the operations after the first."""
+    n, data = len(rows), "".join(rows.to_pylist()).encode()
+    if len(data) % n or pc.min_max(pc.binary_length(rows))["min"].as_py() * n != len(data):
+        raise ValueError("rows of unequal width in a block")
+    turned = np.frombuffer(data, np.uint8).reshape(n, -1).T
+    if not rle and not labels:
+        lines = np.full((turned.shape[0], n + 1), 10, np.uint8)
+        lines[:, :n] = turned
+        text = lines.tobytes().decode()
+        return text[:n] + ops + text[n:-1]
+    columns = (c.tobytes().decode() for c in turned)
+    return "\n".join(column_text(c, rle) + (ops if k == 0 else "") + (f" @ {labels[k]}" if labels.get(k) else "") for k, c in enumerate(columns))
 
 
 def decode(blocks: DataFrame, rle: bool = False) -> DataFrame:
     """Rows of ``text``'s output; ``block_id`` is the block's number there."""
-    lines = blocks.select("block_id", F.posexplode(F.split("value", "\n")).alias("n", "value"))
-    lines = lines.select(F.expr(f"block_id div {SHARD}").alias("seg"), F.expr("(block_id << 24) + n").alias("id"), "value")
+    lines = blocks.select("block_id", F.col("shard").alias("seg"), F.posexplode(F.split("value", "\n")).alias("n", "value"))
+    lines = lines.select("seg", F.expr("(block_id << 24) + n").alias("id"), "value")
     return _decoded(lines, rle, False).withColumn("block_id", F.shiftright("block_id", 24))
 
 
@@ -260,5 +274,5 @@ def write(rows: DataFrame, path: str, tags: dict[str, str] | None = None, rle: b
     """Write text files that follow each other in block order, the header first."""
     tags = dict(tags or {"version": "1"}) | ({"run_length_encode_bases": "1"} if rle else {})
     first = rows.sparkSession.createDataFrame([(-1, "#taf " + " ".join(f"{k}:{v}" for k, v in tags.items()))], "block_id bigint, value string")
-    out = first.unionByName(text(rows, repeat, rle, column_tags))
+    out = first.unionByName(text(rows, repeat, rle, column_tags).select("block_id", "value"))
     write_lines(out, path, compression)

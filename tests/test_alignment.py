@@ -187,7 +187,7 @@ def test_columns_windows_codes(spark, tmp_path):
     first = [(r.bases, r.ref_pos) for r in cols.where("ref_pos < 5 and names[0] = 'dog.chr1'").orderBy("block_id", "col").collect()]
     assert first == [("AAA", 0), ("CC-", 1), ("GCG", 2), ("-TT", 3), ("TTT", 3), ("AAA", 4)]
     assert columns.columns(aln, only_reference=True).count() == 15
-    w = columns.windows(cols, aln, 4, 3).orderBy("window").collect()
+    w = columns.windows(cols, 4, 3).orderBy("window").collect()
     assert [len(x.bases) for x in w] == [4] * 5 and w[1].bases[0] == "-TT"
     assert cols.select(columns.codes(F.lit("aCGt-N"))).first()[0] == [0, 1, 2, 3, 4, 5]
     assert cols.select(columns.one_hots(F.lit("C"))).first()[0] == [[0, 1, 0, 0, 0, 0]]
