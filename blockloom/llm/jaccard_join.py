@@ -14,7 +14,8 @@ Documents of equal words are one text with a number of copies.
 
 Defined cases: a null text is empty; a text without words links to nothing and is
 a class of its own; a text of fewer than five words has one shingle, all of its
-words; repeated rows count as copies; an empty table gives an empty result.
+words; repeated rows count as copies; texts are found again by id and text together, so that rows that share an id, or have none, keep their own links; a class
+whose documents have no ids has the null id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import WORD, mix, texts
+from blockloom.llm.common import WORD, mix, row_key, sliced, texts
 from blockloom.llm.components import components, spanning_links
 from blockloom.session import keep
 
@@ -86,21 +87,19 @@ def paths(sh: np.ndarray, runs: int = RUNS, depth: int = DEPTH, branch: float =
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """``doc_id, node, sketch, paths``; ``node`` identifies the text's words (null without words)."""
+    """``doc_id, t, node, sketch, paths`` of ``doc_id, t, text``; ``node`` identifies the text's words (null without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2_000):
-                b = batch.slice(at, 2_000)
-                node, sketches, found = [], [], []
-                for text in b.column("text").to_pylist():
-                    sh, content = shingles(text)
-                    node.append(content or None)
-                    sketches.append(sketch(sh) if content else None)
-                    found.append(paths(sh).astype(np.int64) if content else None)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(node, pa.int64()), pa.array(sketches, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "node", "sketch", "paths"])
+        for b in sliced(batches, 2_000):
+            node, sketches, found = [], [], []
+            for text in b.column("text").to_pylist():
+                sh, content = shingles(text)
+                node.append(content or None)
+                sketches.append(sketch(sh) if content else None)
+                found.append(paths(sh).astype(np.int64) if content else None)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t"), pa.array(node, pa.int64()), pa.array(sketches, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "t", "node", "sketch", "paths"])
 
-    return texts(docs).mapInArrow(run, "doc_id bigint, node bigint, sketch binary, paths array<bigint>")
+    return docs.select("doc_id", "t", "text").mapInArrow(run, "doc_id bigint, t bigint, node bigint, sketch binary, paths array<bigint>")
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -214,20 +213,18 @@ def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
 def verified(docs: DataFrame, members: DataFrame) -> DataFrame:
     """Exact links inside candidate components.
 
-    ``members``: ``node, root, doc_id`` (a document that has the node's words), ``copies``, ``size`` (nodes in the component).
+    ``members``: ``node, root, t`` (the key of a document that has the node's words), ``copies``, ``size`` (nodes in the component).
     Returns ``a, b, links``: spanning links with ``links`` null, and for each node ``a`` (``b`` null) the
     number of documents in other nodes that it links to.
     """
-    rows = docs.join(members.where("size > 1"), "doc_id").select("text", "node", "root", "copies", "size")
+    rows = docs.join(members.where("size > 1"), "t").select("text", "node", "root", "copies", "size")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1_000):
-                b = batch.slice(at, 1_000)
-                made = [shingles(t) for t in b.column("text").to_pylist()]
-                ok = np.array([c == n for (_, c), n in zip(made, b.column("node").to_pylist())], bool)  # an id may have several texts
-                kept = b.filter(pa.array(ok))
-                yield pa.RecordBatch.from_arrays([kept.column("node"), kept.column("root"), kept.column("copies"), kept.column("size"), pa.array([s.tobytes() for (s, _), k in zip(made, ok) if k], pa.binary())], names=["node", "root", "copies", "size", "set"])
+        for b in sliced(batches, 1_000):
+            made = [shingles(t) for t in b.column("text").to_pylist()]
+            ok = np.array([c == n for (_, c), n in zip(made, b.column("node").to_pylist())], bool)  # keys are hashes
+            kept = b.filter(pa.array(ok))
+            yield pa.RecordBatch.from_arrays([kept.column("node"), kept.column("root"), kept.column("copies"), kept.column("size"), pa.array([s.tobytes() for (s, _), k in zip(made, ok) if k], pa.binary())], names=["node", "root", "copies", "size", "set"])
 
     made = blocked(rows.mapInArrow(sets, "node bigint, root bigint, copies bigint, size bigint, set binary"), "root", "size", EXACT_BLOCK)
     keys = ["root", "i", "j"]
@@ -255,22 +252,38 @@ def verified(docs: DataFrame, members: DataFrame) -> DataFrame:
     return dealt.mapInArrow(compare, "a bigint, b bigint, links bigint")
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """``doc_id, class_id, n_links`` for every document.
-
-    ``class_id`` is the least id of the documents that are linked directly or
-    through others; ``n_links`` counts the other documents whose similarity to this one is ``THRESHOLD`` or more.
-    """
-    docs = texts(docs)
+def classed(docs: DataFrame) -> DataFrame:
+    """``doc_id, t`` (its ``row_key``), ``class_node, class_id, n_links`` for every document; ``class_node`` tells classes apart (null without words)."""
+    docs = texts(docs).withColumn("t", row_key(F.col("doc_id"), F.col("text")))
     made = keep(features(docs), "features")
-    nodes = keep(made.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")), "nodes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")).alias("first")
+    nodes = made.where("node is not null").groupBy("node").agg(first, F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
+    nodes = keep(nodes.select("node", "first.doc_id", "first.t", "copies", "sketch", "paths"), "nodes")
     roots = components(candidates(nodes))
     sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
-    members = roots.join(sizes, "root").join(nodes.select("node", "doc_id", "copies"), "node")
+    members = roots.join(sizes, "root").join(nodes.select("node", "t", "copies"), "node")
     found = keep(verified(docs, members), "links")
     classes = components(found.where("b is not null").select("a", "b"))
     least = classes.join(nodes.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("class_id"))
     counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    info = nodes.select("node", "doc_id", "copies").join(classes.join(least, "root").select("node", "class_id"), "node", "left").join(counts, "node", "left")
-    info = info.select("node", F.coalesce("class_id", "doc_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return made.select("doc_id", "node").join(info, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    info = nodes.select("node", "doc_id", "copies").join(classes.join(least, "root").select("node", "root", F.lit(True).alias("classed"), "class_id"), "node", "left").join(counts, "node", "left")
+    info = info.select("node", F.coalesce("root", "node").alias("class_node"), F.when(F.col("classed"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    with_words = made.where("node is not null").select("doc_id", "t", "node").join(info, "node").select("doc_id", "t", "class_node", "class_id", "n_links")
+    none = F.lit(None).cast("long")
+    return with_words.unionByName(made.where("node is null").select("doc_id", "t", none.alias("class_node"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """``doc_id, class_id, n_links`` for every document.
+
+    ``class_id`` is the least id of the documents that are linked directly or
+    through others; ``n_links`` counts the other documents whose similarity to this one is ``THRESHOLD`` or more.
+    """
+    return classed(docs).select("doc_id", "class_id", "n_links")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """``t``: the ``row_key`` of one document of each class, of the least id (null last), and of every document without words."""
+    found = classed(docs)
+    first = found.where("class_node is not null").groupBy("class_node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")).alias("first"))
+    return first.select("first.t").union(found.where("class_node is null").select("t").distinct())

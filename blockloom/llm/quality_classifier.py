@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.llm import boosting, labelled
-from blockloom.llm.common import fold, texts
+from blockloom.llm.common import fold, sliced, texts
 
 MOST_ROWS, CUTOFF = 20_000, 0.7
 CLASSES = {
@@ -69,7 +69,7 @@ def statistics(text: str) -> np.ndarray:
 
 
 def _features(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    for b in batches:
+    for b in sliced(batches, 2_000):
         rows = [statistics(t) for t in b.column("text").to_pylist()]
         yield b, np.array(rows) if rows else np.zeros((0, WIDTH))
 
@@ -101,7 +101,7 @@ def accepted(docs: DataFrame, forest: boosting.Forest) -> DataFrame:
     """The documents, with all their columns, whose score reaches ``CUTOFF``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 2_000):
             rows = [statistics(t or "") for t in b.column("text").to_pylist()]
             if rows:
                 yield b.filter(pa.array(forest.score(np.array(rows)) >= CUTOFF))

@@ -62,11 +62,11 @@ def measures(text: Column) -> Column:
     return F.struct(of_words.alias("w"), of_lines.alias("l"), symbols.alias("n_symbols"))
 
 
-def document_rules(docs: DataFrame, host: str = "source") -> DataFrame:
-    """Counts and rule failures of each document, with its host."""
+def document_rules(docs: DataFrame, host: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Counts and rule failures of each document, with its host and the columns ``carry``."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), measures(text).alias("m"))
-    rows = rows.select("doc_id", "host", "m.w.n_words", "m.w.word_chars", "m.n_symbols", "m.l.n_lines", "m.l.n_dup_lines", "m.w.n_repeat_words")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), measures(text).alias("m"), *carry)
+    rows = rows.select("doc_id", "host", *carry, "m.w.n_words", "m.w.word_chars", "m.n_symbols", "m.l.n_lines", "m.l.n_dup_lines", "m.w.n_repeat_words")
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rules = [10 * F.col("n_symbols") > F.col("n_words"), 10 * F.col("n_dup_lines") > 3 * F.col("n_lines"), (F.col("word_chars") < 3 * F.col("n_words")) | (F.col("word_chars") > 12 * F.col("n_words"))]
     failed = sum((r.cast("int") for r in rules), base.cast("int"))
@@ -84,11 +84,11 @@ def host_rates(rows: DataFrame) -> DataFrame:
     return hosts.crossJoin(F.broadcast(prior)).select("host", "n_docs", "n_bad", ((F.col("n_bad") + F.col("m") * F.col("strength")) / (F.col("n_docs") + F.col("strength"))).alias("host_rate"))
 
 
-def apply_rules(docs: DataFrame, host: str = "source", block_rate: float = BLOCK_RATE, strict_rate: float = STRICT_RATE) -> DataFrame:
-    """Every document with its counts, its host's shrunk rate and ``kept``."""
-    rows = keep(document_rules(docs, host), "rules")
+def apply_rules(docs: DataFrame, host: str = "source", block_rate: float = BLOCK_RATE, strict_rate: float = STRICT_RATE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Every document with its counts, its host's shrunk rate and ``kept``, and the columns ``carry`` of ``docs``."""
+    rows = keep(document_rules(docs, host, carry), "rules")
     hosts = bounded_broadcast(host_rates(rows).select("host", "host_rate"), BROADCAST_HOSTS)
     passes = (F.col("host_rate") <= block_rate) & F.when(F.col("host_rate") >= strict_rate, F.col("n_failed") == 0).otherwise(F.col("n_failed") < 2)
     return rows.join(hosts, "host").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & passes).alias("kept"), "host", "n_failed", F.round("host_rate", 9).alias("host_rate")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & passes).alias("kept"), "host", "n_failed", F.round("host_rate", 9).alias("host_rate"), *carry
     )
