@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockloom.functions.align import star, wavefront
+from blockloom.functions.partial_order import partial_order
 from blockloom.operators.blocks import drop_all_gap_columns, tags_without_gap_columns
 from blockloom.schema import ROW_COLUMNS
 from blockloom.session import bounded_broadcast, keep
@@ -35,13 +36,17 @@ PIECE, CHAIN, END = 0, 1, 2  # kinds of records
 
 @dataclass(frozen=True)
 class Policy:
-    """When two neighbours merge: enough shared rows, one of them short enough, no gap too wide."""
+    """When two neighbours merge: enough shared rows, one of them short enough, no gap too wide.
+
+    ``aligner`` aligns the bases between blocks: ``partial_order``, or ``star`` (each to the longest).
+    """
 
     most_block: int = 200
     most_gap: int = 30
     least_shared: int = 1
     least_fraction: float = 0.0
     prune: bool = False
+    aligner: str = "partial_order"
 
 
 @dataclass
@@ -119,8 +124,8 @@ def without_gap_columns(rows: list[Row], numbers: list[int]) -> list[int]:
 
 
 @lru_cache(maxsize=1 << 12)
-def _star(strings: tuple[str, ...]) -> list[str]:
-    return star([*strings])
+def aligned(strings: tuple[str, ...], aligner: str) -> list[str]:
+    return {"partial_order": partial_order, "star": star}[aligner]([*strings])
 
 
 @dataclass
@@ -189,8 +194,8 @@ class Fold:
             given = r.gap_bases if r is not None else None
             between.append((given if isinstance(given, str) and len(given) == n else "N" * n).upper())
         some = tuple(b for b in between if b)
-        aligned = iter(_star(some) if some else ())
-        middles = [next(aligned) if b else None for b in between]
+        made = iter(aligned(some, p.aligner))
+        middles = [next(made) if b else None for b in between]
         begin = self.width + max((len(m) for m in middles if m), default=0)
         for (l, r), b, middle in zip(order, between, middles):
             if r is not None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from blockloom.functions.align import star
+from blockloom.functions.partial_order import partial_order
 from blockloom.operators.norm import Policy
 from blockloom.sources.taf import link
 
@@ -37,8 +38,8 @@ def prune(left: list[dict], rows: list[dict], to: list[int | None], most_gap: in
     return [r for k, r in enumerate(rows) if k not in set(drop)]
 
 
-def merge_pair(left: list[dict], right: list[dict], to: list[int | None]) -> list[dict]:
-    """One block of both: rows of the right block that continue nothing join at the place where they stood, the bases between are aligned by a star."""
+def merge_pair(left: list[dict], right: list[dict], to: list[int | None], aligner: str) -> list[dict]:
+    """One block of both: rows of the right block that continue nothing join at the place where they stood, the bases between are aligned."""
     width = len(left[0]["bases"])
     order: list[tuple[dict, dict | None]] = [(r, None) for r in left]
     place = {i: i for i in range(len(left))}  # where a left row stands in ``order``
@@ -57,7 +58,7 @@ def merge_pair(left: list[dict], right: list[dict], to: list[int | None]) -> lis
         n = _gap(l, r) if r is not None else 0
         given = r.get("left_gap_sequence") if r is not None else None
         between.append((given if isinstance(given, str) and len(given) == n else "N" * n).upper())
-    aligned = star([b for b in between if b])
+    aligned = {"star": star, "partial_order": partial_order}[aligner]([b for b in between if b])
     wide = len(aligned[0]) if aligned else 0
     rest = iter(aligned)
     out = []
@@ -102,7 +103,7 @@ def fold(blocks: list[list[dict]], policy: Policy) -> list[Merged]:
                     block, numbers = _without_gap_columns(fewer, numbers)
                     to = link(left, block, substitutions=False)
                 if widest() <= policy.most_gap:
-                    rows = _sorted(merge_pair(left, block, to))
+                    rows = _sorted(merge_pair(left, block, to, policy.aligner))
                     begin = len(rows[0]["bases"]) - len(block[0]["bases"])
                     out[-1] = Merged(rows, [*out[-1].parts, (block_id, begin, numbers)])
                     continue

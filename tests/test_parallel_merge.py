@@ -38,7 +38,7 @@ def random_blocks(seed, n=60):
     return blocks
 
 
-POLICIES = [norm.Policy(most_block=20, most_gap=3), norm.Policy(most_block=20, most_gap=2, prune=True), norm.Policy(most_gap=50), norm.Policy(most_gap=4, least_shared=2, least_fraction=0.4), norm.Policy(most_block=6, most_gap=11, prune=True)]
+POLICIES = [norm.Policy(most_block=20, most_gap=3), norm.Policy(most_block=20, most_gap=2, prune=True), norm.Policy(most_gap=50), norm.Policy(most_gap=4, least_shared=2, least_fraction=0.4), norm.Policy(most_block=6, most_gap=11, prune=True, aligner="star")]
 
 
 @pytest.mark.parametrize("k", range(len(POLICIES)))
