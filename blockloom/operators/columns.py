@@ -33,6 +33,21 @@ def packed_columns(rows: DataFrame) -> DataFrame:
     return blocks.select("block_id", joined.alias("columns"), "ref_start", "names")
 
 
+def bases_before(text: Column) -> Column:
+    """For each column of a row's bases how many of its bases stand before, as an array; stretches of bases and of gaps are taken as a whole."""
+    size = lambda r: F.length(r)
+    stretch = lambda k, r: F.when(r.startswith("-"), F.array_repeat(k, size(r))).otherwise(F.sequence(k, k + size(r) - 1))
+    begin = F.struct(F.lit(0).alias("k"), F.expr("cast(array() as array<array<int>>)").alias("parts"))
+    add = lambda a, r: F.struct((a["k"] + F.when(r.startswith("-"), 0).otherwise(size(r))).alias("k"), F.concat(a["parts"], F.array(stretch(a["k"], r))).alias("parts"))
+    return F.flatten(F.aggregate(F.regexp_extract_all(text, F.lit("([^-]+|-+)"), F.lit(1)), begin, add)["parts"])
+
+
+def packed_with_reference(rows: DataFrame) -> DataFrame:
+    """``packed_columns`` with ``offsets``: for each column how many reference bases stand before it."""
+    reference = F.array_join(F.transform("columns", lambda c: F.substring(c, 1, F.lit(1))), "")
+    return packed_columns(rows).withColumn("offsets", bases_before(reference))
+
+
 def columns(rows: DataFrame, only_reference: bool = False, names: bool = False) -> DataFrame:
     """``block_id, col, bases, ref_pos, ref_base``: each column's bases in row order.
 
@@ -40,9 +55,9 @@ def columns(rows: DataFrame, only_reference: bool = False, names: bool = False)
     the reference has a gap there; ``only_reference`` leaves such columns out.
     ``names`` adds the sequence names in row order.
     """
-    out = packed_columns(rows).select("block_id", "ref_start", "names", F.posexplode("columns").alias("col", "bases")).withColumn("ref_base", F.substring("bases", 1, 1))
-    before = F.sum((F.col("ref_base") != "-").cast("long")).over(Window.partitionBy("block_id").orderBy("col").rowsBetween(Window.unboundedPreceding, -1))
-    out = out.select("block_id", F.col("col").cast("long").alias("col"), "bases", (F.col("ref_start") + F.coalesce(before, F.lit(0))).alias("ref_pos"), "ref_base", *(["names"] if names else []))
+    blocks = packed_with_reference(rows).withColumn("x", F.arrays_zip("columns", "offsets"))
+    out = blocks.select("block_id", "ref_start", *(["names"] if names else []), F.posexplode("x").alias("col", "x"))
+    out = out.select("block_id", F.col("col").cast("long").alias("col"), F.col("x.columns").alias("bases"), (F.col("ref_start") + F.col("x.offsets")).alias("ref_pos"), F.substring("x.columns", 1, 1).alias("ref_base"), *(["names"] if names else []))
     return out.where("ref_base <> '-'") if only_reference else out
 
 

@@ -76,11 +76,22 @@ def contig_lengths(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("contig").agg(F.min_by("ref_length", "block_id").alias("ref_length"))
 
 
-def _groups(sex: list[str] | None) -> Column:
+def group_names(lengths: DataFrame) -> list[str]:
+    """Names of the groups that no contig has: the total, sex chromosomes, autosomes, each with as many ``_`` at its end as it takes."""
+    taken = {r["contig"] for r in lengths.where(F.col("contig").rlike("^_(Total|Sex_Chroms|Autosomes)_+$")).select("contig").collect()}  # hardly any
+    out = []
+    for name in ("_Total_", "_Sex_Chroms_", "_Autosomes_"):
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def _groups(sex: list[str] | None, names: list[str]) -> Column:
     """The names under which a contig is counted: its own, the total, and the sex or autosome group."""
-    own = [F.col("contig"), F.lit("_Total_")]
+    own = [F.col("contig"), F.lit(names[0])]
     if sex:
-        own.append(F.when(F.col("contig").isin(sex), "_Sex_Chroms_").otherwise("_Autosomes_"))
+        own.append(F.when(F.col("contig").isin(sex), names[1]).otherwise(names[2]))
     return F.explode(F.array(*own))
 
 
@@ -93,7 +104,8 @@ def coverage(rows: DataFrame, genomes: list[str] | None = None, reference: str |
     lengths = contig_lengths(blocks)
     sums = blocks.groupBy("contig", "genome").agg(*(F.sum(c).alias(c) for c in COUNTS))
     lost = gaps(blocks, lengths).groupBy("contig", "genome", "gap").agg(F.sum("gap").alias("lost"))
-    named = lambda df: df.withColumn("name", _groups(sex))
+    groups = group_names(lengths)
+    named = lambda df: df.withColumn("name", _groups(sex, groups))
     total_length = named(lengths).groupBy("name").agg(F.sum("ref_length").alias("ref_length"))
     total = named(sums).groupBy("name", "genome").agg(*(F.sum(c).alias(c) for c in COUNTS)).join(total_length, "name")
     limits = sorted(set(thresholds or [])) + [-1]

@@ -23,6 +23,13 @@ def mask_reference(rows: DataFrame, mask: str = "*") -> DataFrame:
     return rows.withColumn("bases", F.when(F.col("row_index") == 0, F.col("bases")).otherwise(same)).drop("ref_bases")
 
 
+def mask(rows: DataFrame, reference: bool = False, parent_of: dict[str, str | None] | None = None) -> DataFrame:
+    """The mask that is asked for: by the reference, else by the parents in a tree, else none."""
+    if reference:
+        return mask_reference(rows)
+    return rows if parent_of is None else mask_lineage(rows, parent_of)
+
+
 def mask_lineage(rows: DataFrame, parent_of: dict[str, str | None], mask: str = "*") -> DataFrame:
     """Bases equal, but for case, to any row of the parent node become ``mask``.
 

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from blockloom.functions.scalars import default_genome
 from blockloom.operators.columns import block_offsets
 from blockloom.operators.masks import with_reference
+from blockloom.operators.selection import medians
+
+#: Bases of a sequence that are ordered by themselves.
+SPAN = 10_000_000
 
 
 def sample_blocks(rows: DataFrame, ordinals: DataFrame, every: int) -> DataFrame:
@@ -15,8 +19,16 @@ def sample_blocks(rows: DataFrame, ordinals: DataFrame, every: int) -> DataFrame
     return rows.join(ordinals.where(F.col("ordinal") % every == 0).select("block_id"), "block_id", "left_semi")
 
 
-def species_coverage(rows: DataFrame) -> DataFrame:
-    """``species, covered``: aligned row lengths outside of the reference row."""
+def species_coverage(rows: DataFrame, only: list[str] | None = None, reference: str | None = None) -> DataFrame:
+    """``species, covered``: aligned row lengths outside of the reference row.
+
+    ``only`` is a list of the species to count; without it ``reference``, if given, leaves alignments of that species with itself out.
+    """
+    species = default_genome(F.col("sequence_name"))
+    if only is not None:
+        rows = rows.where(species.isin(only))
+    elif reference is not None:
+        rows = rows.where(species != reference)
     return rows.where("row_index > 0").groupBy(default_genome(F.col("sequence_name")).alias("species")).agg(F.sum("length").alias("covered"))
 
 
@@ -57,37 +69,60 @@ def bins(rows: DataFrame, bin_size: int) -> DataFrame:
 
 
 def bin_summary(binned: DataFrame, bin_size: int) -> DataFrame:
-    """Median and mean of coverage and identity over the bins of each species."""
+    """Median and mean of coverage and identity over the bins of each species; medians are selected without gathering a species' bins."""
     x = binned.withColumn("coverage", F.col("aligned") / bin_size).withColumn("identity", F.when(F.col("aligned") > 0, F.col("matched") / F.col("aligned")))
-    return x.groupBy("species").agg(F.percentile("coverage", 0.5).alias("median_coverage"), F.avg("coverage").alias("mean_coverage"), F.percentile("identity", 0.5).alias("median_identity"), F.avg("identity").alias("mean_identity"))
+    means = x.groupBy("species").agg(F.avg("coverage").alias("mean_coverage"), F.avg("identity").alias("mean_identity"))
+    of = lambda c: medians(x, ["species"], c).select("species", F.col("median").alias(f"median_{c}"))
+    return means.join(of("coverage"), "species", "left").join(of("identity"), "species", "left").select("species", "median_coverage", "mean_coverage", "median_identity", "mean_identity")
 
 
-def collinear_runs(rows: DataFrame, most_gap: int) -> DataFrame:
-    """Runs of non-reference rows that follow each other on a sequence and strand within ``most_gap``: ``sequence_name, strand, start, end, n_rows, aligned``."""
-    order = Window.partitionBy("sequence_name", "strand").orderBy("start", "block_id", "row_index")
-    gap = F.col("start") - F.lag(F.col("start") + F.col("length")).over(order)
-    cut = rows.where("row_index > 0").withColumn("new", F.when((gap >= 0) & (gap <= most_gap), 0).otherwise(1))
-    runs = cut.withColumn("run", F.sum("new").over(order))
-    return runs.groupBy("sequence_name", "strand", "run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"), F.count("*").alias("n_rows"), F.sum("length").alias("aligned")).drop("run")
+def collinear_runs(rows: DataFrame, most_gap: int, span: int = SPAN) -> DataFrame:
+    """Runs of non-reference rows that follow each other on a sequence and strand within ``most_gap``: ``sequence_name, strand, start, end, n_rows, aligned``.
+
+    Rows are ordered inside stretches of ``span`` bases; each stretch takes the end of the row before it, and the number of runs before it, from
+    one record per stretch.  So a sequence with all rows is spread over all tasks.
+    """
+    keys, order = ["sequence_name", "strand", "stretch"], F.struct("start", "block_id", "row_index")
+    mine = rows.where("row_index > 0").select("sequence_name", "strand", "start", "length", "block_id", "row_index", F.expr(f"floor(start / {span})").cast("long").alias("stretch"))
+    inside, along = Window.partitionBy(*keys).orderBy("start", "block_id", "row_index"), Window.partitionBy("sequence_name", "strand").orderBy("stretch")
+    end = F.col("start") + F.col("length")
+    ends = mine.groupBy(*keys).agg(F.max_by(end, order).alias("end"))
+    cut = mine.join(ends.select(*keys, F.lag("end").over(along).alias("before")), keys).withColumn("gap", F.col("start") - F.coalesce(F.lag(end).over(inside), "before"))
+    cut = cut.withColumn("new", F.when((F.col("gap") >= 0) & (F.col("gap") <= most_gap), 0).otherwise(1))
+    totals = cut.groupBy(*keys).agg(F.sum("new").alias("n")).select(*keys, (F.sum("n").over(along) - F.col("n")).alias("n_before"))
+    runs = cut.join(totals, keys).withColumn("run", F.sum("new").over(inside) + F.col("n_before"))
+    return runs.groupBy("sequence_name", "strand", "run").agg(F.min("start").alias("start"), F.max(end).alias("end"), F.count("*").alias("n_rows"), F.sum("length").alias("aligned")).drop("run")
 
 
 def secondary_runs_dropped(runs: DataFrame, least: int) -> DataFrame:
-    """The longest run of each sequence, and the others of at least ``least`` aligned bases."""
-    nth = F.row_number().over(Window.partitionBy("sequence_name").orderBy(F.desc("aligned"), "start", "strand"))
-    return runs.withColumn("nth", nth).where((F.col("nth") == 1) | (F.col("aligned") >= least)).drop("nth")
+    """The longest run of each sequence (then the first, then - before +), and the others of at least ``least`` aligned bases."""
+    mine = F.struct((-F.col("aligned")).alias("less"), "start", "strand", "end", "n_rows")
+    best = runs.groupBy("sequence_name").agg(F.min(mine).alias("best"))
+    return runs.join(best, "sequence_name").where((mine == F.col("best")) | (F.col("aligned") >= least)).drop("best")
 
 
 def orientation(rows: DataFrame) -> DataFrame:
     """``sequence_name, forward, backward, majority, median_start`` of non-reference rows."""
-    counts = rows.where("row_index > 0").groupBy("sequence_name").agg(F.sum(F.col("strand").cast("long")).alias("forward"), F.sum((~F.col("strand")).cast("long")).alias("backward"), F.percentile("start", 0.5).alias("median_start"))
-    return counts.withColumn("majority", F.when(F.col("forward") >= F.col("backward"), "+").otherwise("-"))
-
-
-def layout(intervals: DataFrame, most_gap: int) -> DataFrame:
-    """Plot coordinates of ``sequence_name, start, end``: gaps longer than ``most_gap`` shrink to it, along each sequence."""
-    order = Window.partitionBy("sequence_name").orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    gap = F.greatest(F.lit(0), F.col("start") - F.coalesce(reach, F.col("start")))
-    saved = F.greatest(F.lit(0), gap - most_gap)
-    first = F.min("start").over(Window.partitionBy("sequence_name"))
-    return intervals.withColumn("saved", saved).withColumn("x", F.col("start") - first - F.sum("saved").over(order)).drop("saved")
+    others = rows.where("row_index > 0")
+    counts = others.groupBy("sequence_name").agg(F.sum(F.col("strand").cast("long")).alias("forward"), F.sum((~F.col("strand")).cast("long")).alias("backward"))
+    middle = medians(others, ["sequence_name"], "start").withColumnRenamed("median", "median_start")
+    return counts.join(middle, "sequence_name").select("sequence_name", "forward", "backward", "median_start", F.when(F.col("forward") >= F.col("backward"), "+").otherwise("-").alias("majority"))
+
+
+def layout(intervals: DataFrame, most_gap: int, span: int = SPAN) -> DataFrame:
+    """Plot coordinates of ``sequence_name, start, end``: gaps longer than ``most_gap`` shrink to it, along each sequence.
+
+    As in ``collinear_runs``, stretches of ``span`` bases are ordered by themselves and shifted by those before.
+    """
+    keys = ["sequence_name", "stretch"]
+    rows = intervals.withColumn("stretch", F.expr(f"floor(start / {span})").cast("long"))
+    inside, along = Window.partitionBy(*keys).orderBy("start", "end"), Window.partitionBy("sequence_name").orderBy("stretch")
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    reach = rows.groupBy(*keys).agg(F.max("end").alias("most"), F.min("start").alias("least"))
+    reach = reach.select(*keys, F.max("most").over(earlier).alias("reached"), F.min("least").over(Window.partitionBy("sequence_name")).alias("first"))
+    before = F.greatest(F.max("end").over(inside.rowsBetween(Window.unboundedPreceding, -1)), "reached")
+    gap = F.greatest(F.lit(0), F.col("start") - F.coalesce(before, F.col("start")))
+    saved = rows.join(reach, keys).withColumn("saved", F.greatest(F.lit(0), gap - most_gap))
+    totals = saved.groupBy(*keys).agg(F.sum("saved").alias("n")).select(*keys, (F.sum("n").over(along) - F.col("n")).alias("saved_before"))
+    out = saved.join(totals, keys).withColumn("x", F.col("start") - F.col("first") - F.sum("saved").over(inside) - F.col("saved_before"))
+    return out.select(*intervals.columns, "x")

@@ -75,3 +75,20 @@ def interval_shares(intervals: DataFrame, shares: int) -> DataFrame:
     parts = placed.withColumn("share", F.explode(F.sequence(F.floor(F.col("offset") / size), F.floor((ends - 1) / size))))
     lo, hi = F.greatest("offset", F.col("share") * size), F.least(ends, (F.col("share") + 1) * size)
     return parts.where("length > 0").select("share", "ord", "sequence_name", (F.col("start") + lo - F.col("offset")).cast("long").alias("start"), (hi - lo).cast("long").alias("length"))
+
+
+def stats_text(stats: DataFrame) -> DataFrame:
+    """``n, value``: the lines of a report on ``alignment_stats``, numbered in their order."""
+    whole = [("Total blocks", "blocks"), ("Total columns", "columns"), ("Avg. columns/block", "columns_per_block"), ("Total bases", "bases"), ("Total gaps", "gaps"), ("Avg. column depth", "column_depth"), ("Avg. bases/column", "bases_per_column"), ("Avg. gaps/column", "gaps_per_column")]
+    shown = lambda title, c: F.concat(F.lit(f"{title}:\t"), F.format_string("%f", c) if title.startswith("Avg") else F.col(c).cast("string"))
+    return stats.select(F.posexplode(F.array(*(shown(t, c) for t, c in whole))).alias("n", "value"))
+
+
+def bed_text(intervals: DataFrame) -> DataFrame:
+    """``value``: tab-separated lines of ``sequence_name, start, end``."""
+    return intervals.select(F.concat_ws("\t", "sequence_name", "start", "end").alias("value"))
+
+
+def lengths_text(lengths: DataFrame) -> DataFrame:
+    """``value``: tab-separated lines of ``sequence_name, sequence_length``."""
+    return lengths.select(F.concat_ws("\t", "sequence_name", "sequence_length").alias("value"))

@@ -23,7 +23,7 @@ aln as (
            cast(max(start + length) over (partition by sequence_name) + 1000 as bigint) as sequence_length, bases from t)"""
 
 #: The common table expressions for DuckDB; queries read ``aln``.
-DUCK = "with " + SQL.format(lineitem="lineitem", string="varchar")
+DUCK = "with " + SQL.format(lineitem="lineitem", string="varchar").replace("aln as (", "aln as materialized (")
 
 
 def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -332,13 +332,16 @@ def column_tags_label(aln, spark):
     return tagged.select("block_id", "col", columns.tag_label(F.col("tags"), "score", -1.0).alias("label"))
 
 
-WIGGLE = ["fixedStep chrom=chr0 start=11 step=5 span=2", "1.5", "2.5", "variableStep chrom=chr1 span=3", "101 7", "201 8.25", "fixedStep chrom=chr2 start=1", "4"]
-
-
-@query(", e(sequence_name, pos, value) as (values ('ref.chr0', 10, 1.5), ('ref.chr0', 11, 1.5), ('ref.chr0', 15, 2.5), ('ref.chr0', 16, 2.5), ('ref.chr1', 100, 7.0), ('ref.chr1', 101, 7.0), ('ref.chr1', 102, 7.0), ('ref.chr1', 200, 8.25), ('ref.chr1', 201, 8.25), ('ref.chr1', 202, 8.25), ('ref.chr2', 0, 4.0)) select sequence_name, cast(pos as bigint) as pos, cast(value as double) as value from e")
+@query(""" select concat('ref.chr', cast(block_id % 3 as varchar)) as sequence_name, 100 * block_id + case when block_id % 2 = 0 then 5 else 10 end * row_index + s as pos, cast(length as double) as value
+from aln, (select unnest(range(0, 3)) as s) where s < case when block_id % 2 = 0 then 2 else 3 end""")
 def wiggle_expand(aln, spark):
-    lines = spark.createDataFrame([*enumerate(WIGGLE)], "line_no bigint, value string")
-    return wiggle.expand(lines, "ref.")
+    """A track made of the alignment: a declaration for each block, a line for each row."""
+    at, even = F.col("block_id") * 100 + 1, F.col("block_id") % 2 == 0
+    chrom = F.concat(F.lit("chrom=chr"), F.col("block_id") % 3)
+    declared = F.when(even, F.concat(F.lit("fixedStep "), chrom, F.lit(" start="), at, F.lit(" step=5 span=2"))).otherwise(F.concat(F.lit("variableStep "), chrom, F.lit(" span=3")))
+    line = F.when(even, F.col("length").cast("string")).otherwise(F.concat_ws(" ", at + 10 * F.col("row_index"), "length"))
+    heads = aln.where("row_index = 0").select((F.col("block_id") * 1024).alias("line_no"), declared.alias("value"))
+    return wiggle.expand(heads.unionByName(aln.select((F.col("block_id") * 1024 + 1 + F.col("row_index")).alias("line_no"), line.alias("value"))), "ref.")
 
 
 LINK = """, o as (select *, dense_rank() over (order by block_id) - 1 as ord, count(*) over (partition by block_id) as n from aln),
@@ -426,7 +429,11 @@ def paf_cs(aln, spark):
     return paf.pairs(aln, differences=True)
 
 
-@query()
+@query(""" select name, pos, "offset" from (
+    with recursive a as materialized (select sequence_name as name, start as pos, block_id * 1000 as "offset" from aln where row_index = 0),
+    e as (select name, min(pos) as pos from a group by name
+          union all select e.name, (select min(a.pos) from a where a.name = e.name and a.pos >= e.pos + 500) as pos from e where e.pos is not null)
+    select a.* from e join a on e.name = a.name and e.pos = a.pos)""")
 def tai_build(aln, spark):
     anchors = aln.where("row_index = 0").select(F.col("sequence_name").alias("name"), F.col("start").alias("pos"), (F.col("block_id") * 1000).alias("offset"))
     return regions.build_index(anchors, 500)

@@ -209,10 +209,11 @@ def link(left: list[dict], right: list[dict], substitutions: bool = True) -> lis
     return to
 
 
-def text(rows: DataFrame, repeat: int = 10_000, rle: bool = False, tags: DataFrame | None = None) -> DataFrame:
+def text(rows: DataFrame, repeat: int = 10_000, rle: bool = False, tags: DataFrame | None = None, omit: bool = False) -> DataFrame:
     """``block_id`` (dense number of the block), ``value``, its lines, and the ``shard`` that they were written in.
 
     A shard knows the block before it.  Its first block gives all coordinates, so that shards are written and read by themselves.
+    ``omit`` leaves coordinates and tags out, which is for looking at only.
     """
     own = ["block_id", "row_index", "sequence_name", "start", "length", "strand", "sequence_length", "bases"]
     gaps = F.col("left_gap_sequence") if "left_gap_sequence" in rows.columns else F.lit(None).cast("string")
@@ -237,8 +238,8 @@ def text(rows: DataFrame, repeat: int = 10_000, rle: bool = False, tags: DataFra
                 for r, i in zip(block, left[lo:hi]):
                     r["l_row_index"], r["since"] = i - starts[b - 1] if i >= 0 else None, 0
                 if b >= halo:
-                    ops = coordinates(last, block, repeat, b == halo)
-                    labels = dict(tagged[lo].as_py() or ())
+                    ops = "" if omit else coordinates(last, block, repeat, b == halo)
+                    labels = {} if omit else dict(tagged[lo].as_py() or ())
                     out.append((numbers + b - halo, _lines(texts[lo:hi], ops, rle, labels)))
                 last = block
             for k in range(0, len(out), 1_000):

@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 
 def expand(lines: DataFrame, prefix: str = "") -> DataFrame:
-    """``sequence_name, pos, value`` (0-based) from ``line_no, value``.
+    """``sequence_name, pos, value`` (0-based) of every base of ``runs``."""
+    return runs(lines, prefix).select("sequence_name", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("pos"), "value")
+
+
+def runs(lines: DataFrame, prefix: str = "") -> DataFrame:
+    """``sequence_name, start, end, value`` (0-based, half-open), a record for each data line of ``line_no, value``.
 
     Declarations are found first (few lines); every data line then takes the last one at or before it. Counting is done inside
     shards of line numbers, and each shard starts from the declaration before it.
@@ -24,8 +29,7 @@ def expand(lines: DataFrame, prefix: str = "") -> DataFrame:
     data = lines.where("d is null and value rlike '^[-+0-9.]'").withColumn("f", F.split(F.trim("value"), r"\s+"))
     first = F.when(F.col("now.fixed"), F.col("now.start") + (F.col("line_no") - F.col("now.at") - 1) * F.col("now.step")).otherwise(F.get("f", F.lit(0)).cast("long"))
     value = F.when(F.col("now.fixed"), F.get("f", F.lit(0))).otherwise(F.get("f", F.lit(1))).cast("double")
-    spread = data.select(F.concat(F.lit(prefix), F.col("now.chrom")).alias("sequence_name"), F.explode(F.sequence(first - 1, first - 2 + F.col("now.span"))).alias("pos"), value.alias("value"))
-    return spread
+    return data.select(F.concat(F.lit(prefix), F.col("now.chrom")).alias("sequence_name"), (first - 1).alias("start"), (first - 1 + F.col("now.span")).alias("end"), value.alias("value"))
 
 
 def numbered(lines: DataFrame) -> DataFrame:
@@ -37,6 +41,14 @@ def numbered(lines: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
-    """A track from a text file of any number of splits; comment, browser, track and blank lines count for nothing."""
-    lines = spark.read.text(path).where(r"trim(value) <> '' and not value rlike '^(#|browser|track)'")
-    return expand(numbered(lines), prefix)
+    """A track from a text file of any number of splits, base by base; comment, browser, track and blank lines count for nothing."""
+    return expand(_lines(spark, path), prefix)
+
+
+def read_runs(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
+    """The same track as ``runs``."""
+    return runs(_lines(spark, path), prefix)
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return numbered(spark.read.text(path).where(r"trim(value) <> '' and not value rlike '^(#|browser|track)'"))

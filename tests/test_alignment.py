@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from blockloom.functions import align, scalars
-from blockloom.operators import annotate, blocks, columns, coverage, dataset, links, masks, norm, paf, plotstats, regions, rows, stats
+from blockloom.operators import annotate, blocks, columns, coverage, dataset, links, masks, norm, paf, plotstats, regions, rows, selection, stats
 from blockloom.sources import lists, maf, newick, reader, taf, wiggle
 from blockloom.streaming import stats as streaming
 
@@ -430,3 +430,95 @@ def test_wiggle_of_several_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert got == [(10 + 2 * i, float(i)) for i in range(6000)]
+
+
+def test_runs_of_a_track_are_spread_inside_blocks(spark):
+    """Runs that span blocks, bins and gaps give each reference base the value that its position has."""
+    rng = random.Random(9)
+    table, at = [], 60_000
+    for b in range(40):
+        bases = ["".join(rng.choice("ACGT-") for _ in range(rng.choice([12, 900]))) or "A" for _ in range(1)]
+        bases.append("".join(rng.choice("AC-") for _ in bases[0]))
+        for k, x in enumerate(bases):
+            table.append((b, k, "ref.c" if k == 0 else "x.c", at if k == 0 else 5, len(x.replace("-", "")), True, 10**6, x))
+        at += len(bases[0].replace("-", "")) + rng.choice([0, 0, 7])
+    track, p = [], 59_000
+    while p < at + 500:
+        n = rng.choice([1, 1, 5, 300, 2_000])
+        if rng.random() < 0.7:
+            track.append(("ref.c", p, p + n, float(rng.randrange(100)) / 4))
+        p += n
+    track.append(("other.c", 0, 10**6, 1.0))
+    value = {q: v for n, a, z, v in track if n == "ref.c" for q in range(a, z)}
+    aln = spark.createDataFrame(table, "block_id bigint, row_index bigint, sequence_name string, start bigint, length bigint, strand boolean, sequence_length bigint, bases string")
+    got = annotate.annotate(aln, spark.createDataFrame(track, "sequence_name string, start bigint, end bigint, value double"), "v").collect()
+    expected = {}
+    for b, k, _, start, *_, bases in table:
+        if k == 0:
+            for c, x in enumerate(bases):
+                pos = start + len(bases[:c].replace("-", ""))
+                expected[b, c] = (pos, x, [f"{value[pos]:f}"] if x != "-" and pos in value else [])
+    assert {(r.block_id, r.col): (r.ref_pos, r.ref_base, [t.value for t in r.tags]) for r in got} == expected
+    points = spark.createDataFrame([("ref.c", q, v) for q, v in value.items()], "sequence_name string, pos bigint, value double")
+    assert sorted(map(str, annotate.annotate(aln, points, "v").collect())) == sorted(map(str, got))
+
+
+@pytest.mark.parametrize("bins", [2, 512])
+def test_medians_are_exact(spark, bins):
+    rng = random.Random(6)
+    groups = {"even": [1.0, 2.0], "one": [5.5], "ties": [3.0] * 50 + [4.0] * 50, "wide": [rng.gauss(0, 1) * 10 ** rng.randrange(-9, 10) for _ in range(301)], "ints": [float(rng.randrange(40)) for _ in range(1000)], None: [7.0, -7.0, 1e300, -1e300], "far": [0.0, 1e-300, 1e300, 1.7e308, -1.7e308]}
+    table = [(g, v) for g, vs in groups.items() for v in vs] + [("ties", None), ("none", None)]
+    got = {r.g: r.median for r in selection.medians(spark.createDataFrame(table, "g string, x double").repartition(3), ["g"], "x", bins).collect()}
+    middle = lambda v: 0.5 * sorted(v)[(len(v) - 1) // 2] + 0.5 * sorted(v)[len(v) // 2]
+    assert got == {g: middle(v) for g, v in groups.items()}
+
+
+@pytest.mark.parametrize("span", [7, 100, 10**7])
+def test_runs_and_layout_do_not_depend_on_stretches(spark, span):
+    rng = random.Random(8)
+    table = [(b, k, f"x.{rng.randrange(2)}" if k else "ref.c", rng.randrange(600), rng.randrange(0, 9), rng.random() < 0.6, 1000, "A") for b in range(120) for k in range(3)]
+    aln = spark.createDataFrame(table, "block_id bigint, row_index bigint, sequence_name string, start bigint, length bigint, strand boolean, sequence_length bigint, bases string")
+    expected = []
+    for key in sorted({(r[2], r[5]) for r in table if r[1]}):
+        run = None
+        for b, k, _, start, length, *_ in sorted((r for r in table if r[1] and (r[2], r[5]) == key), key=lambda r: (r[3], r[0], r[1])):
+            if run is not None and 0 <= start - last <= 5:
+                run[1:] = max(run[1], start + length), run[2] + 1, run[3] + length
+            else:
+                run = [start, start + length, 1, length]
+                expected.append((key, run))
+            last = start + length
+    runs = plotstats.collinear_runs(aln, 5, span)
+    assert sorted((r.sequence_name, r.strand, r.start, r.end, r.n_rows, r.aligned) for r in runs.collect()) == sorted((*k, *r) for k, r in expected)
+    kept = sorted(plotstats.secondary_runs_dropped(runs, 6).select("sequence_name", "aligned", "start").collect())
+    longest = {n: max(r[3] for (m, _), r in expected if m == n) for n in {k[0] for k, _ in expected}}
+    assert {r.sequence_name: max(x.aligned for x in kept if x.sequence_name == r.sequence_name) for r in kept} == longest
+    assert sum(r.aligned >= 6 for r in kept) == sum(r[3] >= 6 for _, r in expected)
+    spans = [(n, r[0], r[1]) for (n, _), r in expected]
+    shown = plotstats.layout(spark.createDataFrame(spans, "sequence_name string, start bigint, end bigint"), 4, span).collect()
+    x, reach = {}, {}
+    for n, a, z in sorted(spans):
+        if n not in reach:
+            reach[n], x[n, a, z], first, saved = z, 0, a, 0
+        else:
+            saved += max(0, max(0, a - reach[n]) - 4)
+            x[n, a, z], reach[n] = a - first - saved, max(reach[n], z)
+    assert {(r.sequence_name, r.start, r.end): r.x for r in shown} == x
+
+
+def test_reports_names_and_masks(spark, tmp_path):
+    aln = read(spark, tmp_path, COVERAGE)
+    lines = [r.value for r in stats.stats_text(stats.alignment_stats(aln)).orderBy("n").collect()]
+    assert lines == ["Total blocks:\t3", "Total columns:\t18", "Avg. columns/block:\t6.000000", "Total bases:\t58", "Total gaps:\t8", "Avg. column depth:\t3.666667", "Avg. bases/column:\t3.222222", "Avg. gaps/column:\t0.444444"]
+    assert sorted(r.value for r in stats.bed_text(stats.contiguous_intervals(aln)).collect()) == ["dog.chr1\t0\t10", "dog.chr2\t0\t5"]
+    assert sorted(r.value for r in stats.lengths_text(stats.sequence_lengths(aln)).collect()) == ["dog.chr1\t10", "dog.chr2\t10"]
+    odd = aln.withColumn("sequence_name", F.when(F.col("row_index") == 0, F.concat(F.lit("_Total_"), F.when(F.col("sequence_name") == "dog.chr2", "_").otherwise(""))).otherwise(F.col("sequence_name")))
+    contigs = {r.contig for r in coverage.coverage(odd, sex=["_Total_"]).collect()}
+    assert contigs == {"_Total_", "_Total__", "_Total___", "_Sex_Chroms_", "_Autosomes_"}
+    species = lambda **k: {r.species: r.covered for r in plotstats.species_coverage(aln, **k).collect()}
+    assert species() == {"cat": 18, "mouse": 20, "dog": 5} and species(reference="dog") == {"cat": 18, "mouse": 20} and species(only=["dog"], reference="dog") == {"dog": 5}
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    tree = {"dog.": None, "cat.": "dog.", "mouse.": "dog."}
+    assert same(masks.mask(aln, True, tree), masks.mask_reference(aln)) and same(masks.mask(aln, parent_of=tree), masks.mask_lineage(aln, tree)) and masks.mask(aln) is aln
+    plain_text = taf.text(aln, omit=True).orderBy("block_id").first().value
+    assert plain_text.split("\n") == ["AAA", "CC-", "GCG", "-TT", "TTT", "AAA"]
