@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockloom.functions.scalars import base_code, one_hot
+from blockloom.session import keep
 
 #: Block ids of a shard, and columns of a range of windows.
 SHARD, WINDOWED = 100_000, 4_096
@@ -93,13 +94,13 @@ def drop_tag(tags: Column, key: str) -> Column:
 def windows(cols: DataFrame, length: int, step: int) -> DataFrame:
     """``window, bases``: ``length`` consecutive ones of ``cols`` (``block_id, col, bases``; any type) every ``step`` columns, across blocks; a short tail is left out."""
     packed = cols.groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("col", "bases"))).alias("x"))
-    widths = cols.groupBy("block_id").agg(F.count("*").alias("w"))
+    widths = keep(cols.groupBy("block_id").agg(F.count("*").alias("w")), "widths")
     return _windows(packed.select("block_id", F.transform("x", lambda x: x["bases"]).alias("x")), widths, length, step)
 
 
 def row_windows(rows: DataFrame, length: int, step: int) -> DataFrame:
     """``windows`` of the columns of ``rows``, which needn't be told apart first."""
-    widths = rows.where("row_index = 0").select("block_id", F.length("bases").cast("long").alias("w"))
+    widths = keep(rows.where("row_index = 0").select("block_id", F.length("bases").cast("long").alias("w")), "widths")  # narrow, read twice
     return _windows(packed_columns(rows).select("block_id", F.col("columns").alias("x")), widths, length, step)
 
 

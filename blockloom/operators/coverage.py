@@ -30,15 +30,15 @@ def block_coverage(rows: DataFrame, genomes: list[str] | None = None, reference:
     record = F.struct(F.col("row_index").alias("i"), F.col("sequence_name").alias("contig"), F.col("sequence_length").alias("n"), "start", F.col("upper").alias("b"), F.col("genome").alias("g"))
     rows = rows.withColumn("ref", F.min(F.when(F.col("genome") == reference, record) if reference else record).over(w))
     rows = rows.where("ref is not null").withColumn("ref_copies", F.sum((F.col("genome") == F.col("ref.g")).cast("int")).over(w))
-    folded = rows.groupBy("block_id", "genome").agg(F.first("ref").alias("ref"), F.first("ref_copies").alias("ref_copies"), F.collect_list(F.split("upper", "")).alias("copies"))
     present = lambda b: (b != "-") & (b != "N")
-    state = F.transform(
-        F.split("ref.b", ""),
-        lambda r, i: F.when(~present(r), 0).when(F.exists("copies", lambda c: F.get(c, i) == r), 2).when(F.exists("copies", lambda c: present(F.get(c, i))), 1).otherwise(0),
-    )
-    places = F.filter(F.sequence(F.lit(0), F.length("ref.b") - 1), lambda i: F.substring(F.col("ref.b"), i + 1, F.lit(1)) != "-")
-    folded = folded.withColumn("state", state).withColumn("places", places)
-    hit = F.filter(F.transform("places", lambda p, k: F.when(F.get("state", p) > 0, F.col("ref.start") + k)), lambda x: x.isNotNull())
+    # a code per reference base: 0 not aligned, 1 aligned, 2 equal; of several copies the greatest counts
+    code = lambda q, r: F.when(r == "-", None).when((r == "N") | ~present(q), 0).when(q == r, 2).otherwise(1)
+    codes = F.array_compact(F.zip_with(F.split("upper", ""), F.split("ref.b", ""), code))
+    copies = F.collect_list(codes)
+    folded = rows.groupBy("block_id", "genome").agg(F.first("ref").alias("ref"), F.first("ref_copies").alias("ref_copies"), copies.alias("copies"))
+    joined = F.aggregate(F.slice("copies", F.lit(2), F.greatest(F.size("copies") - 1, F.lit(0))), F.get("copies", F.lit(0)), lambda a, c: F.zip_with(a, c, lambda x, y: F.greatest(x, y)))
+    folded = folded.withColumn("state", F.when(F.size("copies") == 1, F.get("copies", F.lit(0))).otherwise(joined))
+    hit = F.filter(F.transform("state", lambda c, k: F.when(c > 0, F.col("ref.start") + k)), lambda x: x.isNotNull())
     single = (F.size("copies") == 1) & (F.col("ref_copies") == 1)
     count = lambda s: F.size(F.filter("state", lambda x: x >= s)).cast("long")
     out = folded.select("block_id", F.col("ref.contig").alias("contig"), F.col("ref.n").alias("ref_length"), "genome", count(1).alias("aligned"), count(2).alias("identical"), single.alias("single"), hit.alias("hit"))

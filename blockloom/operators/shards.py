@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockloom.session import bounded_broadcast
+from blockloom.session import bounded_broadcast, keep
 
 #: Block ids of a shard, and records of shards that are broadcast at most.
 SHARD, MOST_SHARDS = 2_000, 200_000
@@ -27,7 +27,7 @@ def with_halo(rows: DataFrame, size: int = SHARD) -> DataFrame:
     of = F.expr(f"floor(block_id / {size})").cast("long")
     along = Window.orderBy("of")  # one record per shard
     shards = rows.where("row_index = 0").groupBy(of.alias("of")).agg(F.count("*").alias("n"), F.max("block_id").alias("last"))
-    shards = shards.select("of", "last", (F.sum("n").over(along) - F.col("n")).alias("n_before"), F.lead("of").over(along).alias("then"))
+    shards = keep(shards.select("of", "last", (F.sum("n").over(along) - F.col("n")).alias("n_before"), F.lead("of").over(along).alias("then")), "shards")
     met = rows.withColumn("of", of).join(bounded_broadcast(shards, MOST_SHARDS), "of")
     both = F.array_compact(F.array(F.col("of"), F.when(F.col("block_id") == F.col("last"), F.col("then"))))
     out = met.select(*rows.columns, "n_before", F.explode(both).alias("shard"))
