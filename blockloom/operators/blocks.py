@@ -57,9 +57,14 @@ def unnormalise(rows: DataFrame) -> DataFrame:
     rows = with_reference(_with_cuts(rows), "cuts").where(F.size("ref_cuts") > 0)  # once per block, from its reference row
     part = lambda x: F.substring("bases", x["a"] + 1, x["b"] - x["a"])
     bases_in = lambda text: F.length(F.replace(text, F.lit("-"), F.lit(""))).cast("long")
-    pieces = F.transform("ref_cuts", lambda x, k: F.struct(k.cast("long").alias("segment"), part(x).alias("part"), x["a"].alias("a")))
+    # the row's bases before each cut, counted on from the cut before
+    begin = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("n"), F.expr("cast(array() as array<bigint>)").alias("before"))
+    count = lambda acc, x: acc["n"] + bases_in(F.substring("bases", acc["at"] + 1, x["a"] - acc["at"]))
+    before = F.aggregate("ref_cuts", begin, lambda acc, x: F.struct(x["a"].alias("at"), count(acc, x).alias("n"), F.concat(acc["before"], F.array(count(acc, x))).alias("before")))["before"]
+    rows = rows.withColumn("before", before)
+    pieces = F.transform("ref_cuts", lambda x, k: F.struct(k.cast("long").alias("segment"), part(x).alias("part"), F.get("before", k).alias("n")))
     some = F.filter(pieces, lambda x: F.translate(x["part"], "-", "") != "")
-    out = rows.withColumn("piece", F.explode(F.transform(some, lambda x: F.struct(x["segment"].alias("segment"), x["part"].alias("bases"), (F.col("start") + bases_in(F.substring("bases", F.lit(1), x["a"]))).alias("start")))))
+    out = rows.withColumn("piece", F.explode(F.transform(some, lambda x: F.struct(x["segment"].alias("segment"), x["part"].alias("bases"), (F.col("start") + x["n"]).alias("start")))))
     out = out.select("block_id", "row_index", "sequence_name", "strand", "sequence_length", "piece.*").withColumn("length", bases_in(F.col("bases")))
     rank = F.row_number().over(Window.partitionBy("block_id", "segment").orderBy("row_index")) - 1
     return out.select("block_id", "segment", rank.cast("long").alias("row_index"), "sequence_name", "start", "length", "strand", "sequence_length", "bases")

@@ -10,8 +10,8 @@ from blockloom.operators.rows import check_prefixes
 
 
 def fasta(spark: SparkSession, *paths: str) -> DataFrame:
-    """``name, seq``; the name is the first word of the header."""
-    records = spark.read.text(list(paths), lineSep=">").where("trim(value) <> ''")
+    """``name, seq``; the name is the first word of the header.  A record begins at a line with ``>``, which may stand elsewhere in a header, too."""
+    records = spark.read.text(list(paths), lineSep="\n>").select(F.regexp_replace("value", "^>", "").alias("value")).where("trim(value) <> ''")
     return records.select(F.regexp_extract("value", r"^(\S+)", 1).alias("name"), F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "").alias("seq"))
 
 

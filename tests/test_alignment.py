@@ -522,3 +522,9 @@ def test_reports_names_and_masks(spark, tmp_path):
     assert same(masks.mask(aln, True, tree), masks.mask_reference(aln)) and same(masks.mask(aln, parent_of=tree), masks.mask_lineage(aln, tree)) and masks.mask(aln) is aln
     plain_text = taf.text(aln, omit=True).orderBy("block_id").first().value
     assert plain_text.split("\n") == ["AAA", "CC-", "GCG", "-TT", "TTT", "AAA"]
+
+
+def test_a_header_may_hold_the_mark_of_a_record(spark, tmp_path):
+    path = tmp_path / "x.fa"
+    path.write_text(">one a > b >c\nAC\nGT\n>two\nTT\n\n>three\n")
+    assert sorted(map(tuple, lists.fasta(spark, str(path)).collect())) == [("one", "ACGT"), ("three", ""), ("two", "TT")]
