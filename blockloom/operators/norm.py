@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from blockloom.functions.align import star, wavefront
 from blockloom.functions.partial_order import partial_order
 from blockloom.operators.blocks import drop_all_gap_columns, tags_without_gap_columns
+from blockloom.operators.shards import values
 from blockloom.schema import ROW_COLUMNS
 from blockloom.session import bounded_broadcast, keep
 
@@ -228,24 +230,27 @@ def _run(policy: Policy):
     The last record of a shard holds the state at its end, the state that it came from, and the blocks that it opened; ``block_id`` is where it met the first run.
     """
 
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    names = ["shard", "block_id", "row_index", "sequence_name", "start", "length", "strand", "sequence_length", "left_gap_sequence", "bases", "width", "state", "came", "opens"]
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for k in range(0, batch.num_rows, 10_000):
-                yield from batch.slice(k, 10_000).to_pylist()
+                part = batch.slice(k, 10_000)
+                yield from zip(*(values(part.column(n)) for n in names))
 
-    def folded(shard: int, rows: Iterator[dict]) -> Iterator[tuple]:
+    def folded(shard: int, rows: Iterator[tuple]) -> Iterator[tuple]:
         fold, opened, came, known, met, final = Fold(policy), {}, None, {}, None, None
-        for block, group in groupby(rows, lambda r: r["block_id"]):
+        for block, group in groupby(rows, itemgetter(1)):
             if block is None:
-                first = next(group)
-                came, known, final = first["state"], json.loads(first["opens"]), first["came"]
+                *_, came, final, opens = next(group)
+                known = json.loads(opens)
                 fold.resume(came)
                 continue
             if met is not None:
                 continue  # the first run has said the rest
             group = [*group]
-            made = [Row(r["sequence_name"], r["start"], r["length"], r["strand"], r["sequence_length"], (block, r["row_index"]), r["left_gap_sequence"], r["bases"]) for r in group]
-            with_ = fold.take(block, made, group[0]["width"])
+            made = [Row(name, start, length, strand, size, (block, row), gap_bases, bases) for _, _, row, name, start, length, strand, size, gap_bases, bases, *_ in group]
+            with_ = fold.take(block, made, group[0][10])
             if with_ is not None:
                 opened[str(block)] = with_
                 if known.get(str(block)) == with_:
@@ -258,7 +263,7 @@ def _run(policy: Policy):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        for shard, rows in groupby(records(batches), lambda r: r["shard"]):
+        for shard, rows in groupby(records(batches), itemgetter(0)):
             for record in folded(shard, rows):
                 held.append(record)
                 if len(held) >= 10_000:

@@ -51,6 +51,23 @@ def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def values(column: pa.Array | pa.ChunkedArray) -> list:
+    """A column as Python values, without a step for each of them where numpy or a dictionary knows a shorter way."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if column.null_count == len(column):
+        return [None] * len(column)
+    if column.null_count:
+        return column.to_pylist()
+    if pa.types.is_integer(column.type) or pa.types.is_boolean(column.type):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    if pa.types.is_string(column.type):
+        coded = column.dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        return [known[k] for k in coded.indices.to_numpy(zero_copy_only=False).tolist()]
+    return column.to_pylist()
+
+
 def block_starts(table: pa.Table, size: int = SHARD) -> tuple[np.ndarray, int]:
     """Where the blocks of a shard begin, and its end at last; and how many of them (one or none) are its halo."""
     ids = table.column("block_id").to_numpy()

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from blockloom.functions.align import wavefront
 from blockloom.operators.links import shard_links
-from blockloom.operators.shards import block_starts, by_shard, with_halo
+from blockloom.operators.shards import block_starts, by_shard, values, with_halo
 from blockloom.sources.lines import write_lines
 
 ROWS = "block_id bigint, row_index bigint, sequence_name string, start bigint, length bigint, strand boolean, sequence_length bigint, bases string, left_gap_sequence string, l_row_index bigint"
@@ -230,7 +230,8 @@ def text(rows: DataFrame, repeat: int = 10_000, rle: bool = False, tags: DataFra
             left = shard_links(table)[0].tolist()
             starts, halo = block_starts(table)
             starts = starts.tolist()
-            meta = table.select([*own[2:7], "left_gap_sequence"]).to_pylist()
+            fields = [*own[2:7], "left_gap_sequence"]
+            meta = [dict(zip(fields, r)) for r in zip(*(values(table.column(c)) for c in fields))]
             texts, tagged = table.column("bases").combine_chunks(), table.column("column_tags")
             numbers, out, last = table.column("n_before")[-1].as_py(), [], []
             for b, (lo, hi) in enumerate(zip(starts, starts[1:])):
@@ -243,8 +244,8 @@ def text(rows: DataFrame, repeat: int = 10_000, rle: bool = False, tags: DataFra
                     out.append((numbers + b - halo, _lines(texts[lo:hi], ops, rle, labels)))
                 last = block
             for k in range(0, len(out), 1_000):
-                ids, values = zip(*out[k : k + 1_000])
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.string()), pa.array([table.column("shard")[0].as_py()] * len(ids), pa.int64())], names=["block_id", "value", "shard"])
+                ids, made = zip(*out[k : k + 1_000])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(made, pa.string()), pa.array([table.column("shard")[0].as_py()] * len(ids), pa.int64())], names=["block_id", "value", "shard"])
 
     return with_halo(given).mapInArrow(run, "block_id bigint, value string, shard bigint")
 
