@@ -96,9 +96,10 @@ def collinear_runs(rows: DataFrame, most_gap: int, span: int = SPAN) -> DataFram
 
 def secondary_runs_dropped(runs: DataFrame, least: int) -> DataFrame:
     """The longest run of each sequence (then the first, then - before +), and the others of at least ``least`` aligned bases."""
-    mine = F.struct((-F.col("aligned")).alias("less"), "start", "strand", "end", "n_rows")
+    mine = F.struct((-F.col("aligned")).alias("less"), "start", "strand", "end", "n_rows", "aligned")
     best = runs.groupBy("sequence_name").agg(F.min(mine).alias("best"))
-    return runs.join(best, "sequence_name").where((mine == F.col("best")) | (F.col("aligned") >= least)).drop("best")
+    alone = best.select("sequence_name", "best.*").drop("less").where(F.col("aligned") < least)
+    return runs.where(F.col("aligned") >= least).unionByName(alone)
 
 
 def orientation(rows: DataFrame) -> DataFrame:
