@@ -297,6 +297,22 @@ def test_links_follow_rows_that_come_and_go(spark):
     assert links.common_rows(aln.limit(0)).count() == 0
 
 
+def test_gap_bases_meet_pieces_of_sequences(spark, monkeypatch):
+    """Gaps inside a piece, over several, up to the end and beyond it, on both strands; pieces given or cut."""
+    monkeypatch.setattr(links, "PIECE", 4)
+    text = "ACGTTGCAACGTGGC"
+    ends = [(0, 3), (3, 5), (3, 9), (7, 8), (8, 12), (11, 15), (13, 18), (16, 18)]
+    table = [t for k, (a, b) in enumerate(ends) for t in ((2 * k, 0, "s", a - 1, 1, True, 15, "A"), (2 * k + 1, 0, "s", b, 1, True, 15, "A"))]
+    table += [t for k, (a, b) in enumerate(ends[:6], 20) for t in ((2 * k, 0, "s", a - 1, 1, False, 15, "A"), (2 * k + 1, 0, "s", b, 1, False, 15, "A"))]
+    table += [(90, 0, "unknown", 0, 1, True, 9, "A"), (91, 0, "unknown", 3, 1, True, 9, "A")]
+    back = text[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    want = {2 * k + 1: text[a:b] for k, (a, b) in enumerate(ends)} | {2 * k + 1: back[a:b] for k, (a, b) in enumerate(ends[:6], 20)} | {91: None}
+    pieces = [("s", k, text[4 * k : 4 * k + 4]) for k in range(4)]
+    for seq in (spark.createDataFrame([("s", text)], "name string, seq string"), spark.createDataFrame(pieces, "name string, piece long, seq string")):
+        got = {r.block_id: r.left_gap_sequence for r in links.gap_bases(frame(spark, *table), seq, -1).collect() if r.block_id % 2}
+        assert got == want
+
+
 def test_links_are_cheapest_alignments(spark):
     """Against the plain recursion over both row lists, on random blocks."""
     random.seed(11)
