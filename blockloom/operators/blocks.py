@@ -2,25 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockloom.operators.masks import with_reference
+from blockloom.operators.shards import characters, some_blocks, strings, whole_blocks
 
 
 def _slots(c: str = "bases"):
     return F.filter(F.sequence(F.lit(0), F.length(c) - 1), lambda i: F.substring(F.col(c), i + 1, F.lit(1)) != "-")
 
 
+def gapless(table: pa.Table, starts: np.ndarray) -> pa.Table:
+    """Whole blocks (``whole_blocks``) without the columns in which every row has a gap; one stays if there are no others."""
+    at, bases = table.column_names.index("bases"), table.column("bases").combine_chunks()
+    text, begin = characters(bases)
+    size, n = np.diff(begin), np.diff(starts)
+    wide = np.maximum(np.maximum.reduceat(size, starts[:-1]), 1)
+    first = np.cumsum(wide) - wide
+    column = np.arange(len(text)) - np.repeat(begin[:-1] - np.repeat(first, n), size)  # of each character, counted over all blocks
+    used = np.zeros(int(wide.sum()), bool)
+    used[column[text != ord("-")]] = True
+    used[first[np.add.reduceat(used, first, dtype=np.int64) == 0]] = True
+    stays = np.repeat(np.repeat(np.add.reduceat(used, first, dtype=np.int64), n) >= size, size)  # rows no longer than what is used stay
+    kept = used[column] | stays
+    if kept.all():
+        return table
+    short = strings(text[kept], np.append(0, np.cumsum(kept))[begin[1:]])
+    if bases.null_count:
+        short = pa.array(short.to_pylist(), pa.string(), mask=bases.is_null().to_numpy(zero_copy_only=False))
+    return table.set_column(at, table.field(at), short)
+
+
 def drop_all_gap_columns(rows: DataFrame) -> DataFrame:
-    """Without the columns in which every row has a gap; one stays if there are no others.
+    """Without the columns in which every row has a gap; one stays if there are no others."""
 
-    Each row lists its base positions, and their union over the block is what stays.
-    """
-    used = F.array_sort(F.array_distinct(F.flatten(F.collect_set(_slots()).over(Window.partitionBy("block_id")))))
-    rows = rows.withColumn("used", used).withColumn("used", F.when(F.size("used") == 0, F.array(F.lit(0))).otherwise(F.col("used")))
-    short = F.array_join(F.transform("used", lambda i: F.substring(F.col("bases"), i + 1, F.lit(1))), "")
-    return rows.withColumn("bases", F.when(F.size("used") < F.length("bases"), short).otherwise(F.col("bases"))).drop("used")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in some_blocks(whole_blocks(batches)):
+            yield from gapless(table, starts).to_batches(max_chunksize=10_000)
+
+    return rows.repartition("block_id").sortWithinPartitions("block_id").mapInArrow(run, rows.schema)
 
 
 def tags_without_gap_columns(rows: DataFrame, tags: DataFrame) -> DataFrame:

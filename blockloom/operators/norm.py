@@ -6,8 +6,10 @@ opened; then the start of each shard is folded again from the block that its pre
 From there on the first run was right.  A shard in which the runs never meet leaves another block open than was thought, and its successor starts again;
 this ends, because each round settles at least the first shard that isn't.
 
-The fold works on names, coordinates and widths.  It says where the bases of each row go, and Spark puts them there, so no task
-holds the bases of a block (with pruning, which looks at columns, of one block at a time).
+The start of a shard is mostly enough for both runs to meet, so a later round reads only the first of its blocks, and all of them where that wasn't enough.
+
+The fold works on names, coordinates and widths.  It hands on the bases of each row with the place where they go, and Spark puts them together, so no task
+holds the bases of a merged block, only those of one given block at a time.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import groupby
 from operator import itemgetter
 
@@ -25,13 +27,13 @@ from pyspark.sql import functions as F
 
 from blockloom.functions.align import star, wavefront
 from blockloom.functions.partial_order import partial_order
-from blockloom.operators.blocks import drop_all_gap_columns, tags_without_gap_columns
-from blockloom.operators.shards import values
+from blockloom.operators.blocks import gapless, tags_without_gap_columns
+from blockloom.operators.shards import some_blocks, values, whole_blocks
 from blockloom.schema import ROW_COLUMNS
 from blockloom.session import bounded_broadcast, keep
 
-#: Blocks ids of a shard.
-SHARD = 2_000
+#: Blocks ids of a shard, the part of them (one of so many) that a later round reads first, and the bases of records that are held.
+SHARD, HEAD, HELD = 2_000, 8, 1 << 22
 LEAST = -(1 << 63)
 PIECE, CHAIN, END = 0, 1, 2  # kinds of records
 
@@ -64,7 +66,7 @@ class Row:
     gap_bases: str | None = None
     bases: str | None = None
 
-    @property
+    @cached_property
     def key(self) -> tuple:
         return self.name, not self.strand, self.start
 
@@ -89,21 +91,29 @@ def links(left: list[Row], right: list[Row]) -> list[int | None]:
     """
     if len(left) == len(right) and all(map(follows, left, right)):
         return [*range(len(right))]
-    by: dict[str, list[int]] = {}
+    by: dict[str, list[int]] = {r.name: [] for r in right}
     for i, l in enumerate(left):
-        by.setdefault(l.name, []).append(i)
-    pairs = {(i, j) for j, r in enumerate(right) for i in by.get(r.name, ()) if follows(left[i], r)}
+        if l.name in by:
+            by[l.name].append(i)
+    pairs = {(i, j) for j, r in enumerate(right) for i in by[r.name] if follows(left[i], r)}
     a, b = sorted({i for i, _ in pairs}), sorted({j for _, j in pairs})
     to: list[int | None] = [None] * len(right)
     if len(a) == len(b) and all((i, j) in pairs for i, j in zip(a, b)):
         made = zip(a, b)
     else:
-        made = ((a[i], b[j]) for i, j in wavefront(a, b, lambda i, j: (i, j) in pairs, 1, 10**8) if i is not None and j is not None)
+        place, places = {i: x for x, i in enumerate(a)}, {j: y for y, j in enumerate(b)}
+        made = ((a[x], b[y]) for x, y in in_both(len(a), len(b), frozenset((place[i], places[j]) for i, j in pairs)))
     for i, j in made:
         to[j] = i
     return to
 
 
+@lru_cache(maxsize=1 << 14)
+def in_both(n: int, m: int, pairs: frozenset[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The pairs that a cheapest ordered alignment of ``n`` and ``m`` rows without substitutions makes."""
+    return [(i, j) for i, j in wavefront(range(n), range(m), lambda i, j: (i, j) in pairs, 1, 10**8) if i is not None and j is not None]
+
+
 def pruned(left: list[Row], rows: list[Row], to: list[int | None], most_gap: int) -> list[Row] | None:
     """Without the rows whose gap is too wide, if each is a copy (not the first row) of a genome that keeps another; else None."""
     genome = [r.name.split(".", 1)[0] for r in rows]
@@ -117,6 +127,8 @@ def pruned(left: list[Row], rows: list[Row], to: list[int | None], most_gap: int
 
 def without_gap_columns(rows: list[Row], numbers: list[int]) -> list[int]:
     """Cut the rows to the columns in which one of them has a base (one stays if there are none), and say which of ``numbers`` those are."""
+    if any("-" not in r.bases for r in rows):
+        return numbers
     used = [c for c, column in enumerate(zip(*(r.bases for r in rows))) if any(b != "-" for b in column)] or [0]
     if len(used) < len(numbers):
         for r in rows:
@@ -158,7 +170,7 @@ class Fold:
             self.close()
         self.block, self.width = block, width
         self.rows = [Row(r.name, r.start, r.length, r.strand, r.size, r.chain) for r in rows]
-        self.pieces += [(*r.chain, block, *r.chain, 0, None, numbers) for r in rows]
+        self.pieces += [(*r.chain, block, *r.chain, 0, None, numbers, r.bases) for r in rows]
         return [r.chain[1] for r in rows]
 
     def close(self) -> None:
@@ -180,66 +192,71 @@ class Fold:
             width, to = len(numbers), links(left, fewer)
         if widest() > p.most_gap:
             return False, rows, width, numbers
-        order: list[tuple[Row, Row | None]] = [(l, None) for l in left]
-        place, at = [*range(len(left))], 0  # where a left row stands in ``order``
+        # new rows stand behind the row that the one before them continues
+        after: dict[int, list[Row]] = {}
+        continued: dict[int, Row] = {}
+        at = -1
         for r, i in zip(rows, to):
             if i is None:
-                order.insert(at, (Row(r.name, r.start, 0, r.strand, r.size, r.chain), r))
-                place = [x + (x >= at) for x in place]
-                at += 1
+                after.setdefault(at, []).append(r)
             else:
-                order[place[i]] = (left[i], r)
-                at = place[i] + 1
-        between = []
-        for l, r in order:
-            n = gap(l, r) if r is not None else 0
-            given = r.gap_bases if r is not None else None
-            between.append((given if isinstance(given, str) and len(given) == n else "N" * n).upper())
-        some = tuple(b for b in between if b)
-        made = iter(aligned(some, p.aligner))
-        middles = [next(made) if b else None for b in between]
-        begin = self.width + max((len(m) for m in middles if m), default=0)
-        for (l, r), b, middle in zip(order, between, middles):
-            if r is not None:
-                self.pieces.append((*r.chain, self.block, *l.chain, begin, middle, numbers))
-                l.length += len(b) + r.length
-        self.rows, self.width = in_order([l for l, _ in order]), begin + width
+                continued[i] = r
+                at = i
+        between, order = [], [*after.get(-1, ())]
+        for i, l in enumerate(left):
+            order.append(l)
+            if (r := continued.get(i)) is not None and (n := gap(l, r)):
+                given = r.gap_bases
+                between.append((i, (given if isinstance(given, str) and len(given) == n else "N" * n).upper()))
+            if i in after:
+                order += after[i]
+        middles = dict(zip((i for i, _ in between), aligned(tuple(b for _, b in between), p.aligner) if between else ()))
+        begin = self.width + max(map(len, middles.values()), default=0)
+        for new in after.values():
+            for r in new:
+                self.pieces.append((*r.chain, self.block, *r.chain, begin, None, numbers, r.bases))
+                r.gap_bases = r.bases = None  # a row of the open block from now on
+        for i, r in continued.items():
+            l = left[i]
+            self.pieces.append((*r.chain, self.block, *l.chain, begin, middles.get(i), numbers, r.bases))
+            l.length = r.start + r.length - l.start
+        self.rows, self.width = in_order(order), begin + width
         return True, rows, width, numbers
 
 
-RECORD = "shard bigint, kind int, block_id bigint, row_index bigint, into bigint, chain_block bigint, chain_row bigint, begin bigint, middle string, numbers array<int>, sequence_name string, start bigint, length bigint, strand boolean, sequence_length bigint, width bigint, state string, came string, opens string"
+RECORD = "shard bigint, kind int, block_id bigint, row_index bigint, into bigint, chain_block bigint, chain_row bigint, begin bigint, middle string, numbers array<int>, bases string, sequence_name string, start bigint, length bigint, strand boolean, sequence_length bigint, width bigint, state string, came string, opens string"
 _I, _S = pa.int64(), pa.string()
 _SCHEMA = pa.schema(
-    [("shard", _I), ("kind", pa.int32()), ("block_id", _I), ("row_index", _I), ("into", _I), ("chain_block", _I), ("chain_row", _I), ("begin", _I), ("middle", _S), ("numbers", pa.list_(pa.int32()))]
+    [("shard", _I), ("kind", pa.int32()), ("block_id", _I), ("row_index", _I), ("into", _I), ("chain_block", _I), ("chain_row", _I), ("begin", _I), ("middle", _S), ("numbers", pa.list_(pa.int32())), ("bases", _S)]
     + [("sequence_name", _S), ("start", _I), ("length", _I), ("strand", pa.bool_()), ("sequence_length", _I), ("width", _I), ("state", _S), ("came", _S), ("opens", _S)]
 )
 
 
 def _said(shard: int, fold: Fold) -> Iterator[tuple]:
-    for block, row, into, chain_block, chain_row, begin, middle, numbers in fold.pieces:
-        yield shard, PIECE, block, row, into, chain_block, chain_row, begin, middle, numbers, *[None] * 9
+    for piece in fold.pieces:
+        yield shard, PIECE, *piece, *[None] * 9
     for rank, into, chain_block, chain_row, *place, width in fold.chains:
-        yield shard, CHAIN, None, rank, into, chain_block, chain_row, None, None, None, *place, width, None, None, None
+        yield shard, CHAIN, None, rank, into, chain_block, chain_row, *[None] * 4, *place, width, None, None, None
     fold.pieces, fold.chains = [], []
 
 
-def _run(policy: Policy):
-    """Fold the sorted rows of shards.
+def _run(policy: Policy, head: bool = False):
+    """Fold the sorted rows of shards, without their all-gap columns.
 
     A shard's first record may hold the ``state`` that it starts from, the blocks that the first run ``opens`` and the state in which that run ends (``came``).
     The last record of a shard holds the state at its end, the state that it came from, and the blocks that it opened; ``block_id`` is where it met the first run.
+    With ``head`` the rows are the first of their shard only; if they end before the runs meet, the state at the end is null.
     """
 
-    names = ["shard", "block_id", "row_index", "sequence_name", "start", "length", "strand", "sequence_length", "left_gap_sequence", "bases", "width", "state", "came", "opens"]
+    names = ["shard", "block_id", "row_index", "sequence_name", "start", "length", "strand", "sequence_length", "left_gap_sequence", "bases", "state", "came", "opens"]
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 10_000):
-                part = batch.slice(k, 10_000)
-                yield from zip(*(values(part.column(n)) for n in names))
+        for table, starts in some_blocks(whole_blocks(batches)):
+            table = gapless(table, starts)
+            yield from zip(*(table.column(n).to_numpy().tolist() if n == "bases" else values(table.column(n)) for n in names))
 
     def folded(shard: int, rows: Iterator[tuple]) -> Iterator[tuple]:
-        fold, opened, came, known, met, final = Fold(policy), {}, None, {}, None, None
+        fold, opened, came, known, met, final, said = Fold(policy), {}, None, {}, None, None, 0
         for block, group in groupby(rows, itemgetter(1)):
             if block is None:
                 *_, came, final, opens = next(group)
@@ -248,27 +265,31 @@ def _run(policy: Policy):
                 continue
             if met is not None:
                 continue  # the first run has said the rest
-            group = [*group]
             made = [Row(name, start, length, strand, size, (block, row), gap_bases, bases) for _, _, row, name, start, length, strand, size, gap_bases, bases, *_ in group]
-            with_ = fold.take(block, made, group[0][10])
+            width = len(made[0].bases)
+            said += width * len(made)
+            with_ = fold.take(block, made, width)
             if with_ is not None:
                 opened[str(block)] = with_
                 if known.get(str(block)) == with_:
                     met = block
                     fold.pieces = [p for p in fold.pieces if p[2] != block]
-            if len(fold.pieces) > 10_000:
+            if len(fold.pieces) > 10_000 or said > HELD:
                 yield from _said(shard, fold)
+                said = 0
         yield from _said(shard, fold)
-        yield shard, END, met, *[None] * 13, fold.state() if met is None else final, came, json.dumps(opened)
+        end = final if met is not None else None if head else fold.state()
+        yield shard, END, met, *[None] * 14, end, came, json.dumps(opened)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held, cells = [], 0
         for shard, rows in groupby(records(batches), itemgetter(0)):
             for record in folded(shard, rows):
                 held.append(record)
-                if len(held) >= 10_000:
+                cells += len(record[10] or "") + len(record[8] or "")
+                if len(held) >= 10_000 or cells > HELD:
                     yield _batch(held)
-                    held = []
+                    held, cells = [], 0
         if held:
             yield _batch(held)
 
@@ -301,30 +322,25 @@ MOST_SHARDS = 200_000
 class Merging:
     """A finished fold: ``rows()`` of the merged blocks, ``tags()`` moved along."""
 
-    base: DataFrame
     said: DataFrame
     given: DataFrame
 
-    def _pieces(self) -> DataFrame:
-        return self.said.where(F.col("kind") == PIECE)
-
     def rows(self) -> DataFrame:
         """Rows of the merged blocks; a merged block has the id of its first one."""
-        pieces = self._pieces().select("block_id", "row_index", "into", "chain_block", "chain_row", "begin", "middle", "numbers")
-        own = F.when(F.col("numbers").isNull(), F.col("bases")).otherwise(F.array_join(F.transform("numbers", lambda c: F.substring(F.col("bases"), c + 1, F.lit(1))), ""))
-        text = F.concat(F.coalesce("middle", F.lit("")), own)
-        placed = pieces.join(self.base.select("block_id", "row_index", "bases"), ["block_id", "row_index"]).select("into", "chain_block", "chain_row", (F.col("begin") - F.coalesce(F.length("middle"), F.lit(0))).alias("at"), text.alias("text"))
-        parts = placed.groupBy("into", "chain_block", "chain_row").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("parts"))
+        text = F.concat(F.coalesce("middle", F.lit("")), "bases")
+        at = F.col("begin") - F.coalesce(F.length("middle"), F.lit(0))
+        chain = F.struct("row_index", "sequence_name", "start", "length", "strand", "sequence_length", F.col("width").cast("int").alias("width"))
+        piece = F.when(F.col("kind") == PIECE, F.struct(at.alias("at"), text.alias("text")))
+        both = self.said.select("into", "chain_block", "chain_row", piece.alias("piece"), F.when(F.col("kind") == CHAIN, chain).alias("chain"))
+        joined = both.groupBy("into", "chain_block", "chain_row").agg(F.array_sort(F.collect_list("piece")).alias("parts"), F.max("chain").alias("chain"))
         end = lambda x: x["at"] + F.length(x["text"])
         filled = F.transform("parts", lambda x, k: F.concat(F.repeat(F.lit("-"), (x["at"] - F.when(k > 0, end(F.get("parts", k - 1))).otherwise(0)).cast("int")), x["text"]))
-        chains = self.said.where(F.col("kind") == CHAIN).select("into", "chain_block", "chain_row", "row_index", "sequence_name", "start", "length", "strand", "sequence_length", F.col("width").cast("int").alias("width"))
-        joined = parts.withColumn("bases", F.array_join(filled, "")).drop("parts").join(chains, ["into", "chain_block", "chain_row"])
-        tail = F.repeat(F.lit("-"), F.col("width") - F.length("bases"))
-        return joined.withColumn("bases", F.concat("bases", tail)).withColumnRenamed("into", "block_id").select(*ROW_COLUMNS)
+        joined = joined.select(F.col("into").alias("block_id"), "chain.*", F.array_join(filled, "").alias("bases"))
+        return joined.withColumn("bases", F.rpad("bases", F.col("width"), F.lit("-"))).select(*ROW_COLUMNS)
 
     def tags(self, tags: DataFrame) -> DataFrame:
         """``block_id, col, tags`` of the merged blocks from those of the original ones; those of dropped columns go."""
-        placed = self._pieces().groupBy("block_id").agg(F.first("into").alias("into"), F.first("begin").alias("begin"), F.first("numbers").alias("numbers"))
+        placed = self.said.where(F.col("kind") == PIECE).groupBy("block_id").agg(F.first("into").alias("into"), F.first("begin").alias("begin"), F.first("numbers").alias("numbers"))
         col = F.col("col").cast("int")
         at = F.when(F.col("numbers").isNull(), col).otherwise(F.array_position("numbers", col).cast("int") - 1)
         found = tags_without_gap_columns(self.given, tags).join(placed, "block_id").withColumn("at", at).where("at >= 0")
@@ -335,14 +351,13 @@ def merging(rows: DataFrame, policy: Policy = Policy(), shard: int = SHARD) -> M
     """Fold ``rows``; ``left_gap_sequence``, where it exists, gives the bases between a row and the one before it."""
     extra = ["left_gap_sequence"] if "left_gap_sequence" in rows.columns else []
     given = rows.select(*ROW_COLUMNS, *extra)
-    base = keep(drop_all_gap_columns(given), "merge-base")
     none = F.lit(None).cast("string")
-    light = base.select(
-        F.expr(f"floor(block_id / {shard})").cast("long").alias("shard"), "block_id", "row_index", "sequence_name", "start", "length", "strand", "sequence_length", F.length("bases").alias("width"),
-        *(extra or [none.alias("left_gap_sequence")]), (F.col("bases") if policy.prune else none).alias("bases"), none.alias("state"), none.alias("came"), none.alias("opens"),
+    light = given.select(
+        F.expr(f"floor(block_id / {shard})").cast("long").alias("shard"), "block_id", "row_index", "sequence_name", "start", "length", "strand", "sequence_length", "bases",
+        *(extra or [none.alias("left_gap_sequence")]), none.alias("state"), none.alias("came"), none.alias("opens"),
     )
-    deal = lambda df: df.repartition("shard").sortWithinPartitions("shard", "block_id", "row_index").mapInArrow(_run(policy), RECORD)
-    rounds = [keep(deal(light), "merge-round")]
+    deal = lambda df, head=False: keep(df.repartition("shard").sortWithinPartitions("shard", "block_id", "row_index").mapInArrow(_run(policy, head), RECORD), "merge-round")
+    rounds, heads = [deal(light)], True
     ends = lambda k: rounds[k].where(F.col("kind") == END).select("shard", "block_id", "state", "came", "opens", F.lit(k).alias("round"))
     first = ends(0)
     latest = first
@@ -356,8 +371,17 @@ def merging(rows: DataFrame, policy: Policy = Policy(), shard: int = SHARD) -> M
             break
         small = F.broadcast if n <= MOST_SHARDS else lambda df: df
         state = small(stale).join(latest.select(F.col("shard").alias("before"), F.col("state")), "before").join(first.select("shard", F.col("state").alias("came"), "opens"), "shard")
-        again = light.join(small(stale.select("shard")), "shard", "left_semi")
-        rounds.append(keep(deal(again.unionByName(state.select("shard", "state", "came", "opens"), allowMissingColumns=True)), "merge-round"))
+        again = lambda which: light.join(small(which.select("shard")), "shard", "left_semi").unionByName(state.join(small(which.select("shard")), "shard", "left_semi").select("shard", "state", "came", "opens"), allowMissingColumns=True)
+        if heads:
+            made = deal(again(stale).where(F.col("block_id").isNull() | (F.col("block_id") - F.col("shard") * shard < max(1, shard // HEAD))), True)
+            left = keep(made.where((F.col("kind") == END) & F.col("state").isNull()).select("shard"), "merge-stale")
+            more = left.count()
+            if more:
+                made = made.join(small(left), "shard", "left_anti").unionByName(deal(again(left)))
+            heads = 2 * more < n
+        else:
+            made = deal(again(stale))
+        rounds.append(made)
         new = ends(len(rounds) - 1)
         latest = new.unionByName(latest.join(small(stale.select("shard")), "shard", "left_anti"))
         if len(rounds) % 8 == 0:
@@ -371,7 +395,7 @@ def merging(rows: DataFrame, policy: Policy = Policy(), shard: int = SHARD) -> M
     said = last
     for p in parts:
         said = said.unionByName(p.select(*columns))
-    return Merging(base, keep(said, "merge-said"), given)
+    return Merging(said, given)
 
 
 def merge_blocks(rows: DataFrame, policy: Policy = Policy(), shard: int = SHARD) -> DataFrame:
