@@ -313,6 +313,19 @@ def test_gap_bases_meet_pieces_of_sequences(spark, monkeypatch):
         assert got == want
 
 
+def test_gap_bases_broadcast_no_pieces_and_make_only_those_that_gaps_touch(spark, monkeypatch):
+    """Two names of a few bytes stand for many pieces, of which the gaps touch the first ones."""
+    monkeypatch.setattr(links, "PIECE", 64)
+    aln = frame(spark, (0, 0, "a", 0, 2, True, 640, "AC"), (0, 1, "b", 60, 2, True, 640, "AC"), (1, 0, "a", 4, 2, True, 640, "AC"), (1, 1, "b", 66, 2, True, 640, "AC"))
+    pieces = spark.createDataFrame([("a",), ("b",)], "name string").withColumn("piece", F.explode(F.expr("sequence(0L, 9L)")))
+    seq = "repeat(if(piece = 0, 'AC', 'GT'), 32)"
+    for table, made in ((pieces.withColumn("seq", F.expr(seq)), "seq"), (pieces, f"if(piece < 2, {seq}, raise_error('touched by no gap'))")):
+        found = links.gap_bases(aln, table, made=made)
+        assert sorted((r.row_index, r.left_gap_sequence) for r in found.collect()) == [(0, "AC"), (1, "ACGT")]
+        joins = [x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in x and "piece" in x]
+        assert joins and not any("Broadcast" in x for x in joins)
+
+
 def test_links_are_cheapest_alignments(spark):
     """Against the plain recursion over both row lists, on random blocks."""
     random.seed(11)
